@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyarrow import fs
@@ -12,7 +15,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the package to Python workers that don't find it on their path."""
+    package = Path(__file__).resolve().parents[1]
+    paths = (spark._jvm.System.getenv("PYTHONPATH") or "").split(os.pathsep)
+    context = spark.sparkContext
+    if str(package.parent) in paths or getattr(context, "_trailweave_shipped", False):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="trailweave-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._trailweave_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -56,14 +75,14 @@ def write_file(uri: str, data: bytes, attempt: str) -> None:
     folder = path.rpartition("/")[0]
     system.create_dir(folder, recursive=True)
     temporary = f"{folder}/.{path.rpartition('/')[2]}.{attempt}.tmp"
-    with system.open_output_stream(temporary) as out:
+    with system.open_output_stream(temporary, compression=None) as out:
         out.write(data)
     system.move(temporary, path)
 
 
 def read_file(uri: str) -> bytes:
     system, path = filesystem(uri)
-    with system.open_input_stream(path) as source:
+    with system.open_input_stream(path, compression=None) as source:
         return source.read()
 
 
