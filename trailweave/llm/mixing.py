@@ -51,9 +51,9 @@ def share(nodes: DataFrame, parent: list[str], budget: str) -> DataFrame:
 def leaf_budgets(leaves: DataFrame, fraction: float, max_epochs: int) -> DataFrame:
     """leaves(domain, lang, source, tokens) with ``budget``: a whole number of tokens."""
     leaves = leaves.withColumn("capacity", F.col("tokens").cast("double") * max_epochs)
-    total = leaves.agg((F.sum("tokens") * F.lit(fraction)).alias("b0"))
-    domains = leaves.groupBy("domain").agg(F.sum("capacity").alias("capacity")).withColumn("weight", weight_of(F.col("domain")))
-    domains = share(domains.crossJoin(F.broadcast(total)).withColumn("one", F.lit(1)), ["one"], "b0").select("domain", F.col("given").alias("b1"))
+    domains = leaves.groupBy("domain").agg(F.sum("capacity").alias("capacity"), F.sum("tokens").alias("own")).withColumn("weight", weight_of(F.col("domain"))).withColumn("one", F.lit(1))
+    domains = domains.withColumn("b0", F.sum("own").over(Window.partitionBy("one")) * F.lit(fraction))
+    domains = share(domains, ["one"], "b0").select("domain", F.col("given").alias("b1"))
     langs = leaves.groupBy("domain", "lang").agg(F.sum("capacity").alias("capacity")).withColumn("weight", F.lit(1.0))
     langs = share(langs.join(domains, "domain"), ["domain"], "b1").select("domain", "lang", F.col("given").alias("b2"))
     own = share(leaves.withColumn("weight", F.lit(1.0)).join(langs, ["domain", "lang"]), ["domain", "lang"], "b2")
