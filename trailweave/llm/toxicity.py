@@ -33,6 +33,7 @@ GAPS = [(a, b) for a in range(1, 5) for b in range(1, 6 - a)]
 LANDMARKS = 384
 PER_CLASS = 2000  # labelled rows of each class at most that a model learns from
 ROUNDS = 4
+CLEAR = 2.7
 LOW = 0.5  # word scores below it tell nothing
 EDGE = re.compile(r"^[^\w]+|[^\w]+$")
 SPACED = re.compile(r"(?<!\S)(?:\w[.,\-_*]*[ \t]+){2,}\w[.,\-_*]*(?!\S)")
@@ -122,7 +123,7 @@ class Model:
         return out
 
     def probability(self, margins) -> np.ndarray:
-        x = np.asarray(margins, float).reshape(-1, 3)
+        x = with_clear(np.asarray(margins, float).reshape(-1, 3))
         return 1 / (1 + np.exp(-np.clip(x @ self.slopes + self.shift, -35, 35)))
 
 
@@ -190,7 +191,7 @@ def train(texts: list[str], y: np.ndarray, seed: int = 8) -> Model:
     hard = np.zeros(0, np.int64)
 
     def scores(b: np.ndarray, c: float) -> np.ndarray:
-        model = Model(b, c, np.ones(3), 0.0)
+        model = Model(b, c, np.ones(4), 0.0)
         return np.concatenate([model.word_scores(vocabulary[i : i + 8192]) for i in range(0, len(vocabulary), 8192)])
 
     for _ in range(ROUNDS):
@@ -232,10 +233,15 @@ def train(texts: list[str], y: np.ndarray, seed: int = 8) -> Model:
     return Model(beta.astype(np.float32), bias, slopes, shift)
 
 
+def with_clear(x: np.ndarray) -> np.ndarray:
+    """The three scores, and how far the first lies above what only clear words reach."""
+    return np.column_stack((x, np.maximum(0.0, x[:, 0] - CLEAR) * 5))
+
+
 def platt(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     """Logistic slopes and shift by Newton steps, with a small prior."""
     target = np.where(y == 1, ((y == 1).sum() + 1) / ((y == 1).sum() + 2), 1 / ((y == 0).sum() + 2))
-    x = np.hstack((x, np.ones((len(x), 1))))
+    x = np.hstack((with_clear(x), np.ones((len(x), 1))))
     u = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ u, -35, 35)))
