@@ -6,6 +6,7 @@ computed only where edge identity is used, since Catalyst prunes them otherwise.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -99,13 +100,34 @@ def as_kind(value: Column, kind: str, to: str) -> Column:
     return value.cast(SPARK_TYPES[to])
 
 
+class Tables(Mapping):
+    """Tables by label, each made when first asked for: a query opens only what it names."""
+
+    def __init__(self, makers: dict[str, Callable]):
+        self.makers, self.made = makers, {}
+
+    def __getitem__(self, label: str):
+        if label not in self.made:
+            self.made[label] = self.makers[label]()
+        return self.made[label]
+
+    def __iter__(self):
+        return iter(self.makers)
+
+    def __len__(self) -> int:
+        return len(self.makers)
+
+    def __contains__(self, label) -> bool:
+        return label in self.makers
+
+
 class Graph:
     """Typed tables for each label. ``nodes`` and ``edges`` are what lowering reads."""
 
-    def __init__(self, spark: SparkSession, vertices: list[Vertices], edges: list[Edges]):
+    def __init__(self, spark: SparkSession, vertices: list[Vertices] | dict[str, Callable], edges: list[Edges] | dict[str, Callable]):
         self.spark = spark
-        self.vertices = {v.label: v for v in vertices}
-        self.edge_tables = {e.label: e for e in edges}
+        self.vertices = Tables(vertices) if isinstance(vertices, dict) else {v.label: v for v in vertices}
+        self.edge_tables = Tables(edges) if isinstance(edges, dict) else {e.label: e for e in edges}
 
     def node_labels(self) -> list[str]:
         return list(self.vertices)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,52 +40,69 @@ def turn_key() -> Column:
 
 
 def load(spark: SparkSession, sf_dir: str) -> Graph:
-    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    region, nation, customer = plain(read("region"), "r_"), plain(read("nation"), "n_"), plain(read("customer"), "c_")
-    supplier, part, orders = plain(read("supplier"), "s_"), plain(read("part"), "p_"), plain(read("orders"), "o_").withColumnRenamed("orderstatus", "status")
-    lines, events = plain(read("lineitem"), "l_"), plain(read("events"))
-    documents, labels, turns = plain(read("documents")), plain(read("labels")), plain(read("conversations"))
-    lines = lines.withColumnRenamed("extendedprice", "price")
+    c = F.col
 
-    def vertices(label: str, df: DataFrame, key: Column) -> Vertices:
-        return Vertices(label, df.withColumn("id", node_id(label, key)))
+    @lru_cache(maxsize=None)
+    def table(name: str, prefix: str = "") -> DataFrame:
+        df = plain(spark.read.parquet(f"{sf_dir}/{name}.parquet"), prefix)
+        return df.withColumnsRenamed({"o": {"orderstatus": "status"}, "l": {"extendedprice": "price"}}.get(prefix[:1], {}))
 
-    def inline(df: DataFrame, end: str) -> dict[str, dict[str, str]]:
-        return {end: {c: f"{end}_{c}" for c in df.columns}}
+    def vertices(label: str, key: Column, *source: str) -> Callable[[], Vertices]:
+        return lambda: Vertices(label, table(*source).withColumn("id", node_id(label, key)))
 
-    def owned(label: str, df: DataFrame, end: str, src: Column, dst: Column, ends: tuple[str, str], *key: str, props: tuple[str, ...] = ()) -> Edges:
+    def owned(label: str, end: str, src: Column, dst: Column, ends: tuple[str, str], key: tuple[str, ...], source: tuple[str, ...], props: tuple[str, ...] = (), rows: Callable = lambda df: df) -> Callable[[], Edges]:
         """Edges of a foreign key: the table of one end, whose properties come with them."""
-        kept = [F.col(c).alias(f"{end}_{c}") for c in df.columns]
-        made = df.select(edge_id(label, *key).alias("eid"), src.alias("src"), dst.alias("dst"), *props, *kept)
-        return Edges(label, made, ends=ends, inline=inline(df, end))
-
-    near = nation.alias("a").join(nation.alias("b"), (F.col("a.regionkey") == F.col("b.regionkey")) & (F.col("a.nationkey") < F.col("b.nationkey")))
-    neighbor = near.select(F.col("a.nationkey").alias("x"), F.col("b.nationkey").alias("y")).select(edge_id("NEIGHBOR", "x", "y").alias("eid"), node_id("Nation", F.col("x")).alias("src"), node_id("Nation", F.col("y")).alias("dst"))
-    line_key = ("orderkey", "linenumber", "partkey", "suppkey", "quantity", "price", "shipdate")
-    contains = lines.select(edge_id("CONTAINS", *line_key).alias("eid"), node_id("Order", F.col("orderkey")).alias("src"), node_id("Part", F.col("partkey")).alias("dst"), "quantity", "price", "discount", "tax", "returnflag", "linestatus", "linenumber")
-    supplies = lines.select("suppkey", "partkey").distinct().select(edge_id("SUPPLIES", "suppkey", "partkey").alias("eid"), node_id("Supplier", F.col("suppkey")).alias("src"), node_id("Part", F.col("partkey")).alias("dst"))
-    # A conversation's turns are numbered without gaps; its last has no next.
-    last = turns.groupBy("conv_id").agg(F.max("turn").alias("last"))
-    following = turns.join(last, "conv_id").where(F.col("turn") < F.col("last")).drop("last")
-    c = F.col
-    return Graph(
-        spark,
-        [
-            vertices("Region", region, c("regionkey")), vertices("Nation", nation, c("nationkey")), vertices("Customer", customer, c("custkey")),
-            vertices("Supplier", supplier, c("suppkey")), vertices("Part", part, c("partkey")), vertices("Order", orders, c("orderkey")),
-            vertices("Event", events, c("event_id")), vertices("Document", documents, c("doc_id")), vertices("Label", labels, c("doc_id")),
-            vertices("Turn", turns, turn_key()),
-        ],
-        [
-            owned("IN_REGION", nation, "src", node_id("Nation", c("nationkey")), node_id("Region", c("regionkey")), ("Nation", "Region"), "nationkey"),
-            owned("LIVES_IN", customer, "src", node_id("Customer", c("custkey")), node_id("Nation", c("nationkey")), ("Customer", "Nation"), "custkey"),
-            owned("BASED_IN", supplier, "src", node_id("Supplier", c("suppkey")), node_id("Nation", c("nationkey")), ("Supplier", "Nation"), "suppkey"),
-            owned("PLACED", orders, "dst", node_id("Customer", c("custkey")), node_id("Order", c("orderkey")), ("Customer", "Order"), "orderkey"),
-            Edges("CONTAINS", contains, ends=("Order", "Part")),
-            Edges("SUPPLIES", supplies, ends=("Supplier", "Part")),
-            owned("DID", events, "dst", node_id("Customer", c("user_id")), node_id("Event", c("event_id")), ("Customer", "Event"), "event_id"),
-            Edges("NEIGHBOR", neighbor, directed=False, ends=("Nation", "Nation")),
-            owned("NEXT", following, "src", node_id("Turn", turn_key()), node_id("Turn", turn_key() + 1), ("Turn", "Turn"), "conv_id", "turn", props=("turn",)),
-            owned("HAS_LABEL", labels, "dst", node_id("Document", c("doc_id")), node_id("Label", c("doc_id")), ("Document", "Label"), "doc_id"),
-        ],
-    )
+        def make() -> Edges:
+            df = table(*source)
+            kept = [F.col(k).alias(f"{end}_{k}") for k in df.columns]
+            made = rows(df).select(edge_id(label, *key).alias("eid"), src.alias("src"), dst.alias("dst"), *props, *kept)
+            return Edges(label, made, ends=ends, inline={end: {k: f"{end}_{k}" for k in df.columns}})
+
+        return make
+
+    def neighbor() -> Edges:
+        nation = table("nation", "n_").select("nationkey", "regionkey")
+        other = nation.select(c("nationkey").alias("other"), "regionkey")
+        near = nation.join(other, "regionkey").where("nationkey < other")
+        return Edges("NEIGHBOR", near.select(edge_id("NEIGHBOR", "nationkey", "other").alias("eid"), node_id("Nation", c("nationkey")).alias("src"), node_id("Nation", c("other")).alias("dst")), directed=False, ends=("Nation", "Nation"))
+
+    def contains() -> Edges:
+        key = ("orderkey", "linenumber", "partkey", "suppkey", "quantity", "price", "shipdate")
+        made = table("lineitem", "l_").select(edge_id("CONTAINS", *key).alias("eid"), node_id("Order", c("orderkey")).alias("src"), node_id("Part", c("partkey")).alias("dst"), "quantity", "price", "discount", "tax", "returnflag", "linestatus", "linenumber")
+        return Edges("CONTAINS", made, ends=("Order", "Part"))
+
+    def supplies() -> Edges:
+        made = table("lineitem", "l_").select("suppkey", "partkey").distinct().select(edge_id("SUPPLIES", "suppkey", "partkey").alias("eid"), node_id("Supplier", c("suppkey")).alias("src"), node_id("Part", c("partkey")).alias("dst"))
+        return Edges("SUPPLIES", made, ends=("Supplier", "Part"))
+
+    def following(turns: DataFrame) -> DataFrame:
+        # A conversation's turns are numbered without gaps; its last has no next.
+        last = turns.groupBy("conv_id").agg(F.max("turn").alias("last"))
+        return turns.join(last, "conv_id").where(c("turn") < c("last")).drop("last")
+
+    nation, customer, supplier, orders = ("nation", "n_"), ("customer", "c_"), ("supplier", "s_"), ("orders", "o_")
+    nodes = {
+        "Region": vertices("Region", c("regionkey"), "region", "r_"),
+        "Nation": vertices("Nation", c("nationkey"), *nation),
+        "Customer": vertices("Customer", c("custkey"), *customer),
+        "Supplier": vertices("Supplier", c("suppkey"), *supplier),
+        "Part": vertices("Part", c("partkey"), "part", "p_"),
+        "Order": vertices("Order", c("orderkey"), *orders),
+        "Event": vertices("Event", c("event_id"), "events"),
+        "Document": vertices("Document", c("doc_id"), "documents"),
+        "Label": vertices("Label", c("doc_id"), "labels"),
+        "Turn": vertices("Turn", turn_key(), "conversations"),
+    }
+    edges = {
+        "IN_REGION": owned("IN_REGION", "src", node_id("Nation", c("nationkey")), node_id("Region", c("regionkey")), ("Nation", "Region"), ("nationkey",), nation),
+        "LIVES_IN": owned("LIVES_IN", "src", node_id("Customer", c("custkey")), node_id("Nation", c("nationkey")), ("Customer", "Nation"), ("custkey",), customer),
+        "BASED_IN": owned("BASED_IN", "src", node_id("Supplier", c("suppkey")), node_id("Nation", c("nationkey")), ("Supplier", "Nation"), ("suppkey",), supplier),
+        "PLACED": owned("PLACED", "dst", node_id("Customer", c("custkey")), node_id("Order", c("orderkey")), ("Customer", "Order"), ("orderkey",), orders),
+        "CONTAINS": contains,
+        "SUPPLIES": supplies,
+        "DID": owned("DID", "dst", node_id("Customer", c("user_id")), node_id("Event", c("event_id")), ("Customer", "Event"), ("event_id",), ("events",)),
+        "NEIGHBOR": neighbor,
+        "NEXT": owned("NEXT", "src", node_id("Turn", turn_key()), node_id("Turn", turn_key() + 1), ("Turn", "Turn"), ("conv_id", "turn"), ("conversations",), ("turn",), following),
+        "HAS_LABEL": owned("HAS_LABEL", "dst", node_id("Document", c("doc_id")), node_id("Label", c("doc_id")), ("Document", "Label"), ("doc_id",), ("labels",)),
+    }
+    return Graph(spark, nodes, edges)
