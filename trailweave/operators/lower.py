@@ -111,6 +111,36 @@ class Lowering:
             raise Unsupported("an aggregate can't stand here")
         raise Unsupported(type(expr).__name__)
 
+    def constant(self, expr) -> bool:
+        """Whether an expression is a value that isn't null or NaN."""
+        value = None if expr is None else expr.value if isinstance(expr, Lit) else self.params.get(expr.name) if isinstance(expr, Param) else None
+        return value is not None and value == value
+
+    def predicate(self, expr, scope: dict[str, Binding]) -> Column:
+        """An expression whose rows are dropped where it is false or null. Comparisons stay as
+        they are, so that scans can evaluate them."""
+        if not isinstance(expr, Bin):
+            return X.truthy(self.value(expr, scope))
+        if expr.op in ("AND", "OR"):
+            left, right = self.predicate(expr.left, scope), self.predicate(expr.right, scope)
+            return left & right if expr.op == "AND" else left | right
+        a, b = self.value(expr.left, scope), self.value(expr.right, scope)
+        plain = a.kind in X.NUMBERS and b.kind in X.NUMBERS or a.kind == b.kind == "string"
+        if expr.op == "=":
+            return self.equality(expr.left, a, expr.right, b)
+        if expr.op in ("<", "<=", ">", ">=") and plain:
+            found = X.compare(expr.op, a.column, b.column)
+            # Spark takes NaN for the greatest number: it must not win on the greater side.
+            side, value = (expr.left, a) if expr.op in (">", ">=") else (expr.right, b)
+            return found if value.kind != "float" or self.constant(side) else found & ~F.isnan(value.column)
+        return X.truthy(self.value(expr, scope))
+
+    def equality(self, left, a: Value, right, b: Value) -> Column:
+        """Equality in a filter: with a constant, null can't be meant."""
+        if (self.constant(left) or self.constant(right)) and (a.kind == b.kind != "mixed" or a.kind in X.NUMBERS and b.kind in X.NUMBERS):
+            return a.column == b.column
+        return X.equal(a, b)
+
     def bound(self, name: str, scope: dict[str, Binding]) -> Binding:
         if name not in scope:
             raise UnknownIdentifier(name)
@@ -162,7 +192,7 @@ class Lowering:
             rows = self.load(Rows(rows.df, {**rows.scope, var: replace(b, loaded=False)}), var)
         for key, expr in props:
             rows = self.load_all(rows, names(expr))
-            rows = Rows(rows.df.where(X.equal(self.value(Prop(var, key), rows.scope), self.value(expr, rows.scope))), rows.scope)
+            rows = Rows(rows.df.where(self.equality(None, self.value(Prop(var, key), rows.scope), expr, self.value(expr, rows.scope))), rows.scope)
         return rows
 
     def load_all(self, rows: Rows, wanted: set[str]) -> Rows:
@@ -190,7 +220,10 @@ class Lowering:
                 raise Unsupported(f"{edge.var} is bound already")
         anchor = next((i for i, v in enumerate(vars_) if v in rows.scope), None)
         if anchor is None:
-            anchor = next((i for i, n in enumerate(path.nodes) if n.props), 0)
+            # Predicates that read other variables of the path need its order; otherwise the
+            # first node with a predicate, which is likely to be selective.
+            read = {n for part in (*path.nodes, *path.edges) for _, e in part.props for n in names(e)}
+            anchor = next((i for i, n in enumerate(path.nodes) if n.props), 0) if read <= set(rows.scope) else 0
             rows = self.anchor(rows, path, vars_, anchor)
         else:
             rows = self.seen_node(rows, vars_[anchor], path.nodes[anchor])
@@ -249,14 +282,14 @@ class Lowering:
         if rows.df is None:
             joined = Rows(side, scope)
             for key, expr in props:
-                joined = Rows(joined.df.where(X.equal(self.value(Prop(var, key), scope), self.value(expr, scope))), scope)
+                joined = Rows(joined.df.where(self.equality(None, self.value(Prop(var, key), scope), expr, self.value(expr, scope))), scope)
             return joined
         condition = None
         for _, expr in props:
             rows = self.load_all(rows, names(expr))
         scope = {**rows.scope, **bindings}
         for key, expr in props:
-            one = X.equal(self.value(Prop(var, key), scope), self.value(expr, scope))
+            one = self.equality(None, self.value(Prop(var, key), scope), expr, self.value(expr, scope))
             condition = one if condition is None else condition & one
         return Rows(rows.df.join(side, F.lit(True) if condition is None else condition, "inner"), scope)
 
@@ -400,7 +433,7 @@ class Lowering:
             return rows
         if where.path is None:
             rows = self.load_all(rows, names(where.expr))
-            return Rows(rows.df.where(X.truthy(self.value(where.expr, rows.scope))) if rows.df is not None else self.start(rows).where(X.truthy(self.value(where.expr, rows.scope))), rows.scope)
+            return Rows(self.start(rows).where(self.predicate(where.expr, rows.scope)), rows.scope)
         return self.correlated(rows, (where.path,), None, "left_anti" if where.negated else "left_semi")
 
     def match(self, rows: Rows, match: Match) -> Rows:
