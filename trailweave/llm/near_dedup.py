@@ -8,8 +8,10 @@ prefixes split them. Pairs of a bucket whose signatures are near enough are veri
 Jaccard similarity of their shingles; verified links are joined into classes.
 
 In a bucket with a dense cluster not all pairs are made: every member is first linked to a
-leader, and once those links are verified, the pairs that still lie in different classes are
-made in a second pass. So no link between classes is lost, and a cluster costs its size.
+leader. Once those links are verified, a second pass takes the members of such buckets that
+have a near neighbour in another class, with their shingles, and verifies inside the bucket,
+nearest pairs first, until no pair of different classes is left. So no link between classes
+is lost, and the rows that Spark moves follow the number of members, not of pairs.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ SIMILARITY = 0.8
 RECALL = 0.97
 BITS = 128
 CAP = 2048  # nodes of a bucket, before deeper prefixes split it
-SPARSE = 8  # pairs per node up to which a bucket gives all its pairs
+SPARSE = 1  # pairs per node up to which a bucket gives all its pairs
 
 _words = Generations(400_000)
 
@@ -164,7 +166,7 @@ PAIR = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("trie", pa.int32()),
 def bucket_pairs(rows: DataFrame, differ: int, labelled: bool = False) -> DataFrame:
     """Pairs (a, b), a < b, of nodes of a bucket whose signatures differ in ``differ`` bits at
     most. Dense buckets give stars, and a row with null a that names the bucket. With labels,
-    all pairs of nodes with different labels."""
+    one row (a, null) for each node that has such a partner with a different label."""
 
     def pairs(keys: list[bytes], halves: np.ndarray, labels: list[bytes] | None) -> tuple[list[tuple[bytes, bytes]], bool]:
         n = len(keys)
@@ -175,6 +177,7 @@ def bucket_pairs(rows: DataFrame, differ: int, labelled: bool = False) -> DataFr
         if labels is not None:
             _, code = np.unique(np.array([x.hex() for x in labels]), return_inverse=True)
             near &= code[:, None] != code[None, :]
+            return [(keys[a], None) for a in np.flatnonzero(near.any(axis=1))], False
         i, j = np.nonzero(np.triu(near, 1))
         dense = labels is None and len(i) > SPARSE * n
         if dense:
@@ -221,9 +224,57 @@ def bucket_pairs(rows: DataFrame, differ: int, labelled: bool = False) -> DataFr
     return rows.repartition(*group).sortWithinPartitions(*group, "key").mapInArrow(run, "a binary, b binary, trie int, depth int, prefix long, salt int")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have a Jaccard similarity of 0.8 or more. Only texts
-    of nodes in a pair are read for it, one row a node."""
+def bucket_links(rows: DataFrame, differ: int) -> DataFrame:
+    """Verified pairs (a, b) that join the classes of a bucket's nodes (key, s0, s1, label,
+    items): pairs of different classes are compared exactly, nearest signatures first, and a
+    verified one joins its classes, so a bucket gives fewer rows than it has nodes."""
+
+    def joined(held: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
+        halves = np.array([h[1:3] for h in held], np.int64).view(np.uint64)
+        apart = np.bitwise_count(halves[:, None, :] ^ halves[None, :, :]).sum(axis=2, dtype=np.int64)
+        i, j = np.nonzero(np.triu(apart <= differ, 1))
+        order = np.argsort(apart[i, j], kind="stable")
+        above = {h[3]: h[3] for h in held}
+
+        def find(x: bytes) -> bytes:
+            while above[x] != x:
+                above[x] = x = above[above[x]]
+            return x
+
+        sets = [np.frombuffer(h[4], np.uint32) for h in held]
+        for a, b in zip(i[order].tolist(), j[order].tolist()):
+            x, y = find(held[a][3]), find(held[b][3])
+            if x != y and similar(sets[a], sets[b]):
+                above[max(x, y)] = min(x, y)
+                yield min(held[a][0], held[b][0]), max(held[a][0], held[b][0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, held, out = None, [], []
+        for batch in chunked(batches, 2000):
+            for row in zip(*columns(batch, "trie", "depth", "prefix", "salt", "key", "s0", "s1", "label", "items")):
+                if row[:4] != name:
+                    out += joined(held) if len(held) > 1 else []
+                    name, held = row[:4], []
+                held.append(row[4:])
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in out], pa.binary()) for k in (0, 1)], names=["a", "b"])
+                out = []
+        out += joined(held) if len(held) > 1 else []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in out], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+    group = ["trie", "depth", "prefix", "salt"]
+    return rows.repartition(*group).sortWithinPartitions(*group, "key").mapInArrow(run, "a binary, b binary")
+
+
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= SIMILARITY * (len(x) + len(y) - both)
+
+
+def shingle_sets(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """key, items (the sorted shingles, as bytes) of the nodes in a pair: only their texts are
+    read, one row a node."""
     used = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
     wanted = nodes.join(used, "key", "left_semi").select("doc_id", "key")
 
@@ -235,15 +286,17 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     joined = texts.join(wanted.hint("merge"), texts["doc_id"].eqNullSafe(wanted["doc_id"])).select("key", "text")
-    items = materialise(joined.mapInArrow(sets, "key binary, items binary").dropDuplicates(["key"]), "shingle-sets")
+    return materialise(joined.mapInArrow(sets, "key binary, items binary").dropDuplicates(["key"]), "shingle-sets")
+
+
+def verified(pairs: DataFrame, items: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have a Jaccard similarity of 0.8 or more."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunked(batches, 2000):
             found = []
             for a, b, x, y in zip(*columns(batch, "a", "b", "x", "y")):
-                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if both >= SIMILARITY * (len(x) + len(y) - both):
+                if similar(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)):
                     found.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
@@ -259,15 +312,20 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     trees = materialise(forest(nodes, tries), "forest")
     rows = buckets(trees, depth)
     first = materialise(bucket_pairs(rows, differ).distinct(), "pairs")
-    edges = verified(first.where("a IS NOT NULL").select("a", "b").distinct(), nodes, docs)
+    pairs = first.where("a IS NOT NULL").select("a", "b").distinct()
+    items = shingle_sets(pairs, nodes, docs)
+    edges = verified(pairs, items)
     labels = components(edges)
     group = ["trie", "depth", "prefix", "salt"]
     dense = first.where("a IS NULL").select(*group)
     if dense.limit(1).count():
-        again = rows.join(dense, group, "left_semi").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-        more = materialise(bucket_pairs(again, differ, labelled=True).select("a", "b").distinct().join(first.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        if more.limit(1).count():
-            labels = components(edges.union(verified(more, nodes, docs)))
+        own = labels.withColumnRenamed("node", "key")
+        again = rows.join(dense, group, "left_semi").join(own, "key", "left").withColumn("label", F.coalesce("label", "key"))
+        open_ = materialise(bucket_pairs(again, differ, labelled=True).withColumnRenamed("a", "key").drop("b"), "open")
+        if open_.limit(1).count():
+            # Every node of a dense bucket with a near neighbour is in a star, so has its items.
+            whole = open_.join(nodes.select("key", "s0", "s1"), "key").join(own, "key", "left").withColumn("label", F.coalesce("label", "key")).join(items, "key")
+            labels = components(edges.union(materialise(bucket_links(whole, differ), "links")))
     return prints, labels
 
 
