@@ -33,6 +33,7 @@ GAPS = [(a, b) for a in range(1, 5) for b in range(1, 6 - a)]
 LANDMARKS = 384
 PER_CLASS = 2000  # labelled rows of each class at most that a model learns from
 ROUNDS = 4
+LONG = 64
 CLEAR = 2.7
 LOW = 0.5  # word scores below it tell nothing
 EDGE = re.compile(r"^[^\w]+|[^\w]+$")
@@ -74,6 +75,10 @@ def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         owners.append(word[ok])
     feature, weight, owner = np.concatenate(features), np.concatenate(weights), np.concatenate(owners)
     norm = np.sqrt(np.bincount(owner, weights=weight * weight, minlength=len(words)))
+    # A word's repeats count apart in its norm, but in a very long one they would outgrow it.
+    for i in np.flatnonzero(lengths > LONG).tolist():
+        _, back = np.unique(feature[owner == i], return_inverse=True)
+        norm[i] = np.sqrt((np.bincount(back, weights=weight[owner == i]) ** 2).sum())
     return feature, weight / norm[owner], owner
 
 
@@ -135,16 +140,13 @@ def noisy(word: str, rng: np.random.Generator) -> str:
 
 def kernel(words: list[str], others: list[str]) -> np.ndarray:
     """The normalised subsequence kernel of each word with each of the others."""
-    from collections import defaultdict
-
-    of = defaultdict(list)
-    feature, weight, owner = subsequences(others)
-    for f, w, o in zip(feature.tolist(), weight.tolist(), owner.tolist()):
-        of[f].append((o, w))
+    of: dict[int, list[tuple[int, float]]] = {}
+    for f, w, o in zip(*(x.tolist() for x in merged(others))):
+        of.setdefault(f, []).append((o, w))
     out = np.zeros((len(words), len(others)))
     known = np.zeros(DIM, bool)
-    known[feature] = True
-    feature, weight, owner = subsequences(words)
+    known[list(of)] = True
+    feature, weight, owner = merged(words)
     use = known[feature]
     for f, w, i in zip(feature[use].tolist(), weight[use].tolist(), owner[use].tolist()):
         row = out[i]
@@ -153,6 +155,14 @@ def kernel(words: list[str], others: list[str]) -> np.ndarray:
     return out
 
 
+def merged(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The subsequences, one row for each word and feature, so that a word that repeats one
+    character a hundred thousand times costs no more than another."""
+    feature, weight, owner = subsequences(words)
+    keys, back = np.unique(owner * DIM + feature, return_inverse=True)
+    return keys % DIM, np.bincount(back, weights=weight, minlength=len(keys)), keys // DIM
+
+
 def train(texts: list[str], y: np.ndarray, seed: int = 8) -> Model:
     rng = np.random.default_rng(seed)
     bags = [sorted({w for s in sentences(t) for w in words_of(s)}) for t in texts]
