@@ -112,15 +112,15 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, kind: str = "word",
         held: list[bytes] = []
         names: list[int | None] = []
         lengths: list[int] = []
-        number = before = 0
+        number = before = total = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal number, before, held, names, lengths
+            nonlocal number, before, held, names, lengths, total
             starts = np.concatenate(([0], np.cumsum(lengths)))
             uri = f"{folder}/part-{part:06d}-{number:05d}.dac"
             write_file(uri, encode_codes(np.frombuffer(b"".join(held), "<u4"), names, starts), attempt)
             row = {"file": [uri], "part": [part], "number": [number], "before": [before], "n_tokens": [int(starts[-1])], "n_docs": [len(names)]}
-            number, before, held, names, lengths = number + 1, before + int(starts[-1]), [], [], []
+            number, before, held, names, lengths, total = number + 1, before + int(starts[-1]), [], [], [], 0
             return pa.RecordBatch.from_pydict(row, schema=MANIFEST)
 
         for batch in chunked(batches):
@@ -129,8 +129,9 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, kind: str = "word",
                 held.append(code + end)
                 names.append(name)
                 lengths.append(len(code) // 4 + 1)
-            if sum(lengths) >= tokens_per_file:
-                yield flush()
+                total += lengths[-1]
+                if total >= tokens_per_file:
+                    yield flush()
         if names:
             yield flush()
 
