@@ -174,8 +174,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Machi
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.float32())))], names=["doc_id", "label", "place", "value"])
 
     got = rows.mapInArrow(features, "doc_id long, label int, place array<int>, value array<float>").toArrow().sort_by("doc_id")
-    place, value = got.column("place").to_pylist(), got.column("value").to_pylist()
-    return train([(np.array(i, np.int64), np.array(v)) for i, v in zip(place, value)], np.array(got.column("label").to_pylist()))
+    place, value, y = (got.column(c).to_pylist() for c in ("place", "value", "label"))
+    if len(set(y)) < 2:  # labels of documents that aren't there
+        return (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
+    return train([(np.array(i, np.int64), np.array(v)) for i, v in zip(place, value)], np.array(y))
 
 
 RESULT = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])

@@ -187,6 +187,8 @@ def train(texts: list[str], y: np.ndarray, seed: int = 8) -> Model:
         return [pool[i] for i in taken]
 
     marks = list(dict.fromkeys(spread(strong, half) + spread(common, half)))
+    if not marks:  # no labelled text has a word
+        return Model(np.zeros(DIM, np.float32), 0.0, np.zeros(4), float(np.log((n1 + 1) / (n0 + 1))))
     values, vectors = np.linalg.eigh(kernel(marks, marks))
     keep = values > 1e-6 * values[-1]
     root = vectors[:, keep] / np.sqrt(values[keep])  # K^(-1/2): the Nyström features are kernel @ root
