@@ -115,3 +115,11 @@ def whole_text(column: str | Column = "text") -> Column:
     """The text, with null as the empty string."""
     c = F.col(column) if isinstance(column, str) else column
     return F.coalesce(c.cast("string"), F.lit(""))
+
+
+def free_name(df: DataFrame, hint: str) -> str:
+    """A column name that the table doesn't have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while hint.lower() in taken:
+        hint += "_"
+    return hint

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailweave.llm.common import table, whole_text
+from trailweave.llm.common import free_name, table, whole_text
 
 #: From 1024 code points to the next sentence or line end, or 8192 where none comes.
 CHUNK = r"(?s).{1024,8191}?[.\n]|.{1,8192}"
@@ -78,7 +78,9 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The rows to drop are named by doc_id and text digest, so a repeated doc_id with another
     text stays; of rows equal in both, one stays.
     """
-    groups = exact_groups(docs).where("kept").select(F.col("doc_id").alias("keep"), F.col("text_sha256").alias("digest")).distinct()
-    own = docs.withColumn("digest__", F.sha2(whole_text(), 256))
-    named = own.join(groups, own["doc_id"].eqNullSafe(groups["keep"]) & (own["digest__"] == groups["digest"]), "left_semi")
-    return named.dropDuplicates(["doc_id", "digest__"]).select(*docs.columns)
+    digest_name = free_name(docs, "digest__")
+    keep_name, group_name = free_name(docs, "keep__"), free_name(docs, "group__")
+    groups = exact_groups(docs).where("kept").select(F.col("doc_id").alias(keep_name), F.col("text_sha256").alias(group_name)).distinct()
+    own = docs.withColumn(digest_name, F.sha2(whole_text(), 256))
+    named = own.join(groups, F.col("doc_id").eqNullSafe(F.col(keep_name)) & (F.col(digest_name) == F.col(group_name)), "left_semi")
+    return named.dropDuplicates(["doc_id", digest_name]).select(*docs.columns)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trailweave.llm.common import materialise, table, whole_text
+from trailweave.llm.common import free_name, materialise, table, whole_text
 
 LEVELS = ("domain", "lang", "source")
 BUCKETS = 4096  # of a leaf's order in an epoch; each is sorted by itself
@@ -138,5 +138,6 @@ OP2_SQL = mix_sql()
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the mixture draws, once each (one epoch), 70 % of all tokens. The last
     document of a leaf stays whole. Texts without tokens aren't drawn."""
-    drawn = mix(docs, fraction=0.7, max_epochs=1).select(F.col("doc_id").alias("drawn__")).distinct()
-    return docs.where(n_tokens(whole_text()) > 0).join(drawn, F.col("doc_id").eqNullSafe(F.col("drawn__")), "left_semi").select(*docs.columns)
+    name = free_name(docs, "drawn__")
+    drawn = mix(docs, fraction=0.7, max_epochs=1).select(F.col("doc_id").alias(name)).distinct()
+    return docs.where(n_tokens(whole_text()) > 0).join(drawn, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi").select(*docs.columns)

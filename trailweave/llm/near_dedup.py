@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailweave.llm.common import chunked, columns, materialise, table, whole_text
+from trailweave.llm.common import chunked, columns, free_name, materialise, table, whole_text
 from trailweave.llm.components import components
 from trailweave.llm.tokens import Generations
 
@@ -349,5 +349,6 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class: that with the smallest doc_id. Rows with a repeated doc_id
     stay or go together."""
-    kept = near_groups(docs).where("kept").select(F.col("doc_id").alias("kept__")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept__")), "left_semi").select(*docs.columns)
+    name = free_name(docs, "kept__")
+    kept = near_groups(docs).where("kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi").select(*docs.columns)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailweave.llm.common import chunked, columns, table, whole_text
+from trailweave.llm.common import chunked, columns, free_name, table, whole_text
 from trailweave.llm.labelled import remainder, training_rows
 from trailweave.llm.tokens import Generations
 
@@ -184,20 +184,22 @@ RESULT = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
 
 def scored(docs: DataFrame, model: Machine | float, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` of docs with ``score`` between 0 and 1; null text is empty text."""
+    """The columns ``keep`` of docs, and behind them a score between 0 and 1 under a name that
+    docs doesn't have, ``score__`` if free; null text is empty text."""
     fields = [docs.schema[c] for c in keep]
+    score_name, text_name = free_name(docs, "score__"), free_name(docs, "text__")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunked(batches, 1000):
-            texts = columns(batch, "text__")[0]
+            texts = columns(batch, text_name)[0]
             got = np.full(len(texts), model) if isinstance(model, float) else model.scores(*inputs(texts))
             held = [batch.column(batch.schema.get_field_index(c)) for c in keep]
-            yield pa.RecordBatch.from_arrays([*held, pa.array(got, pa.float64())], names=[*keep, "score__"])
+            yield pa.RecordBatch.from_arrays([*held, pa.array(got, pa.float64())], names=[*keep, score_name])
 
     from pyspark.sql import types as T
 
-    schema = T.StructType([*fields, T.StructField("score__", T.DoubleType())])
-    return docs.select(*keep, whole_text().alias("text__")).mapInArrow(run, schema)
+    schema = T.StructType([*fields, T.StructField(score_name, T.DoubleType())])
+    return docs.select(*keep, whole_text().alias(text_name)).mapInArrow(run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -217,4 +219,5 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score of 0.5 or more; the others go."""
     model = fit(docs, table(spark, sf_dir, "labels"))
-    return scored(docs, model, tuple(docs.columns)).where("score__ >= 0.5").select(*docs.columns)
+    found = scored(docs, model, tuple(docs.columns))
+    return found.where(F.col(found.columns[-1]) >= 0.5).select(*docs.columns)
