@@ -256,6 +256,23 @@ def test_dense_cluster_and_split_buckets(spark, monkeypatch):
     assert sizes[0] == 60 and len(sizes) == 31
 
 
+def test_nodes_of_a_crowded_prefix_meet_in_a_bucket(spark):
+    import random
+
+    rnd = random.Random(5)
+    # A crowd that agrees in 13 bits, one that agrees in all 63, and single nodes.
+    codes = [rnd.getrandbits(50) for _ in range(70)] + [7 << 50] * 70 + [(k << 50) + rnd.getrandbits(50) for k in range(100, 140)]
+    nodes = [(f"{i:04}".encode(), i, i, [c]) for i, c in enumerate(codes)]
+    trees = spark.createDataFrame(nodes, "key binary, s0 long, s1 long, codes array<long>")
+    held = defaultdict(set)
+    for r in near_dedup.buckets(trees, 13, 16).collect():
+        held[r.trie, r.depth, r.prefix, r.salt].add(bytes(r.key))
+    met = {(a, b) for own in held.values() for a in own for b in own if a < b}
+    keys = [n[0] for n in nodes]
+    assert met == {(keys[a], keys[b]) for b in range(len(codes)) for a in range(b) if codes[a] >> 50 == codes[b] >> 50}
+    assert max(map(len, held.values())) < 2 * 16 + 8  # two blocks of 8, dealt by hash
+
+
 def test_plan_meets_the_recall():
     for n in (10, 10**6, 10**10):
         depth, tries, differ = near_dedup.plan(n)

@@ -3,8 +3,8 @@
 Texts with equal sets of five-word shingles are one node. Each node has a 128-bit SimHash,
 and each trie of the forest orders the nodes by another permutation of its bits. A prefix
 that few nodes share is climbed to, so that each trie's prefixes are as short as the target
-recall at similarity 0.8 asks for; where more nodes share it than a task should hold, deeper
-prefixes split them. Pairs of a bucket whose signatures are near enough are verified by the
+recall at similarity 0.8 asks for; where more nodes share it than a task should hold, they are
+dealt to blocks, and every two blocks are a bucket. Pairs of a bucket whose signatures are near enough are verified by the
 Jaccard similarity of their shingles; verified links are joined into classes.
 
 In a bucket with a dense cluster not all pairs are made: every member is first linked to a
@@ -33,7 +33,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 RECALL = 0.97
 BITS = 128
-CAP = 2048  # nodes of a bucket, before deeper prefixes split it
+CAP = 2048  # nodes of a bucket; those of a fuller prefix meet in pairs of blocks
 SPARSE = 1  # pairs per node up to which a bucket gives all its pairs
 
 _words = Generations(400_000)
@@ -130,37 +130,23 @@ def forest(nodes: DataFrame, tries: int, seed: int = 3) -> DataFrame:
 
 
 def buckets(trees: DataFrame, depth: int, cap: int = CAP) -> DataFrame:
-    """A row for each node and trie with its bucket: trie, depth, prefix, salt. A prefix that
-    more than ``cap`` nodes share is split by the next six bits, to the end of the code; what
-    is together even then is dealt to blocks of ``cap`` by key, with the smallest key of every
-    block in block 0 as well, so blocks stay linked."""
+    """A row for each node and trie with its bucket: trie, depth, prefix, salt. The nodes of a
+    prefix that more than ``cap`` share are dealt by key to blocks of half a bucket, and every
+    two blocks are a bucket, so that any two nodes of a prefix meet in one: a crowded prefix
+    has the recall of the others, for rows that grow with its size over ``cap``."""
     rows = trees.select("key", "s0", "s1", F.posexplode("codes").alias("trie", "code"))
-    done = []
-    while True:
-        prefix = F.shiftright("code", 63 - depth)
-        rows = rows.withColumn("depth", F.lit(depth)).withColumn("prefix", prefix)
-        crowded = materialise(rows.groupBy("trie", "prefix").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cap), "crowded")
-        if not crowded.limit(1).count():
-            done.append(rows.withColumn("salt", F.lit(0)))
-            break
-        done.append(rows.join(crowded, ["trie", "prefix"], "left_anti").withColumn("salt", F.lit(0)))
-        if depth >= 63:
-            own = rows.join(crowded, ["trie", "prefix"]).withColumn("salt", F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / cap)).cast("int"))
-            heads = own.groupBy("trie", "depth", "prefix", "salt").agg(F.min(F.struct("key", "s0", "s1", "code")).alias("h")).where("salt > 0")
-            names = ["key", "s0", "s1", "trie", "code", "depth", "prefix", "salt"]
-            done.append(own.select(*names))
-            done.append(heads.select("h.key", "h.s0", "h.s1", "trie", "h.code", "depth", "prefix", F.lit(0).alias("salt")))
-            break
-        rows = rows.join(crowded.select("trie", "prefix"), ["trie", "prefix"], "left_semi").drop("depth", "prefix")
-        depth = min(63, depth + 6)
-    names = ["trie", "depth", "prefix", "salt", "key", "s0", "s1"]
-    out = done[0].select(*names)
-    for more in done[1:]:
-        out = out.unionByName(more.select(*names))
-    return out
-
-
-PAIR = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("trie", pa.int32()), ("depth", pa.int32()), ("prefix", pa.int64()), ("salt", pa.int32())])
+    rows = rows.select("trie", F.lit(depth).alias("depth"), F.shiftright("code", 63 - depth).alias("prefix"), "key", "s0", "s1")
+    crowded = materialise(rows.groupBy("trie", "prefix").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cap), "crowded")
+    if not crowded.limit(1).count():
+        return rows.withColumn("salt", F.lit(0).cast("long"))
+    even = rows.join(crowded, ["trie", "prefix"], "left_anti").withColumn("salt", F.lit(0).cast("long"))
+    blocks = F.ceil(F.col("n") * 2 / cap)
+    own = rows.join(crowded, ["trie", "prefix"]).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("other <> block")
+    return even.unionByName(own.withColumn("salt", F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")).drop("n", "blocks", "block", "other"))
+
+
+PAIR = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("trie", pa.int32()), ("depth", pa.int32()), ("prefix", pa.int64()), ("salt", pa.int64())])
 
 
 def bucket_pairs(rows: DataFrame, differ: int, labelled: bool = False) -> DataFrame:
@@ -221,7 +207,7 @@ def bucket_pairs(rows: DataFrame, differ: int, labelled: bool = False) -> DataFr
             yield batch_of()
 
     group = ["trie", "depth", "prefix", "salt"]
-    return rows.repartition(*group).sortWithinPartitions(*group, "key").mapInArrow(run, "a binary, b binary, trie int, depth int, prefix long, salt int")
+    return rows.repartition(*group).sortWithinPartitions(*group, "key").mapInArrow(run, "a binary, b binary, trie int, depth int, prefix long, salt long")
 
 
 def bucket_links(rows: DataFrame, differ: int) -> DataFrame:
