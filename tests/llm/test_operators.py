@@ -273,6 +273,32 @@ def test_nodes_of_a_crowded_prefix_meet_in_a_bucket(spark):
     assert max(map(len, held.values())) < 2 * 16 + 8  # two blocks of 8, dealt by hash
 
 
+def test_a_node_without_a_star_is_in_the_second_pass(spark, monkeypatch):
+    import random
+
+    import xxhash
+
+    differ, rows = 22, None
+    for seed in range(2000):
+        rnd = random.Random(seed)
+        base = [f"w{rnd.randrange(10**6)}" for _ in range(100)]
+        changed = [" ".join(base[:30] + ["new"] + base[31:]), " ".join(base[:30] + ["new"] + base[31:50] + ["b"] + base[51:70] + ["c"] + base[71:])]
+        texts = [" ".join(base[:-1] + [f"end{i}"]) for i in range(12)] + changed
+        sets = [near_dedup.shingles(t) for t in texts]
+        keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+        bits = np.array([near_dedup.signature(s) for s in sets]).view(np.uint64)
+        apart = np.bitwise_count(bits[:, None] ^ bits[None]).sum(axis=2, dtype=int)
+        lead = min(range(14), key=keys.__getitem__)
+        # The leader takes all but the last, whose only near one is the last but one.
+        if lead < 12 and apart[lead, :13].max() <= differ and apart[13, :12].min() > differ >= apart[13, 12]:
+            rows = list(enumerate(texts))
+            break
+    assert len(brute_classes(rows)) == 14 and set(n for _, _, n in brute_classes(rows)) == {14}
+    monkeypatch.setattr(near_dedup, "plan", lambda nodes: (0, 1, differ))  # all in one bucket
+    got = Counter((r.doc_id, r.class_id, r.class_size) for r in near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute_classes(rows)
+
+
 def test_plan_meets_the_recall():
     for n in (10, 10**6, 10**10):
         depth, tries, differ = near_dedup.plan(n)

@@ -309,7 +309,10 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         again = rows.join(dense, group, "left_semi").join(own, "key", "left").withColumn("label", F.coalesce("label", "key"))
         open_ = materialise(bucket_pairs(again, differ, labelled=True).withColumnRenamed("a", "key").drop("b"), "open")
         if open_.limit(1).count():
-            # Every node of a dense bucket with a near neighbour is in a star, so has its items.
+            # A node whose near ones all went to earlier leaders may be in no pair, so lack items.
+            lone = materialise(open_.select("key").distinct().join(items.select("key"), "key", "left_anti"), "lone")
+            if lone.limit(1).count():
+                items = items.unionByName(shingle_sets(lone.select(F.col("key").alias("a"), F.col("key").alias("b")), nodes, docs))
             whole = open_.join(nodes.select("key", "s0", "s1"), "key").join(own, "key", "left").withColumn("label", F.coalesce("label", "key")).join(items, "key")
             labels = components(edges.union(materialise(bucket_links(whole, differ), "links")))
     return prints, labels
