@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailweave.llm.common import free_name, table, whole_text
+from trailweave.llm.common import free_name, materialise, table, whole_text
 
 #: From 1024 code points to the next sentence or line end, or 8192 where none comes.
 CHUNK = r"(?s).{1024,8191}?[.\n]|.{1,8192}"
@@ -35,30 +35,39 @@ def colliding(docs: DataFrame) -> DataFrame:
 
 
 def recipes(docs: DataFrame) -> DataFrame:
-    """doc_id, ids (ordered identifiers of chunks), text_sha256. If a digest ever stood for
-    two chunks, every identifier gets a second, independent digest."""
+    """row (a number of its own for every row), doc_id, ids (ordered identifiers of chunks),
+    text_sha256; written once, so that nothing after it reads a text. If a digest ever stood
+    for two chunks, every identifier gets a second, independent digest."""
     identifier = digest
     if colliding(docs).limit(1).count():
         def identifier(c: Column) -> Column:
             return F.concat(digest(c), F.unhex(F.sha2(F.reverse(c), 512)))
     text = whole_text()
-    return docs.select("doc_id", F.transform(chunks(text), identifier).alias("ids"), F.sha2(text, 256).alias("text_sha256"))
+    return materialise(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.transform(chunks(text), identifier).alias("ids"), F.sha2(text, 256).alias("text_sha256")), "recipes")
 
 
 def exact_groups(docs: DataFrame, keep: str = "max") -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Null texts count as empty, and empty texts are equal to each other. Of equal texts the
-    largest doc_id stays (keep="min": the smallest); where doc_id itself repeats, one of the
-    equal rows has ``kept``: their order follows a number given per row. Null ids are
-    smallest. Other columns are ignored; an empty table gives an empty result. Groups are
-    summed before the shuffle, and the join back is one that adaptive execution splits where
-    a group is hot.
+    row with the largest doc_id stays (keep="min": the smallest); null ids are smallest. Just
+    one row of a group has ``kept``: where that doc_id repeats, the last as the table was
+    read. Other columns are ignored; an empty table gives an empty result. Groups are summed
+    before the shuffle; those of more than one row are written, and the join back with them
+    is one that adaptive execution splits where a group is hot.
     """
     own = recipes(docs)
     pick = F.max if keep == "max" else F.min
-    groups = own.groupBy("ids").agg(pick("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return own.join(groups, "ids").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    groups = own.groupBy("ids").agg(pick(F.struct("doc_id", "row")).alias("head"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
+    groups = materialise(groups.select("ids", F.col("head.doc_id").alias("keep_id"), F.col("head.row").alias("keep_row"), "group_size"), "equal-texts")
+    alone = F.col("keep_row").isNull()
+    return own.join(groups, "ids", "left").select(
+        "doc_id",
+        F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+        (alone | (F.col("row") == F.col("keep_row"))).alias("kept"),
+        "text_sha256",
+    )
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +76,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP7_SQL = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
-  doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
+  row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
@@ -80,7 +89,10 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     digest_name = free_name(docs, "digest__")
     keep_name, group_name = free_name(docs, "keep__"), free_name(docs, "group__")
-    groups = exact_groups(docs).where("kept").select(F.col("doc_id").alias(keep_name), F.col("text_sha256").alias(group_name)).distinct()
+    groups = materialise(exact_groups(docs), "exact-groups")
+    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias(keep_name), F.col("text_sha256").alias(group_name)).distinct()
     own = docs.withColumn(digest_name, F.sha2(whole_text(), 256))
-    named = own.join(groups, F.col("doc_id").eqNullSafe(F.col(keep_name)) & (F.col(digest_name) == F.col(group_name)), "left_semi")
-    return named.dropDuplicates(["doc_id", digest_name]).select(*docs.columns)
+    left = own.join(gone, F.col("doc_id").eqNullSafe(F.col(keep_name)) & (F.col(digest_name) == F.col(group_name)), "left_anti")
+    if groups.where(~F.col("kept") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).limit(1).count():
+        left = left.dropDuplicates(["doc_id", digest_name])
+    return left.select(*docs.columns)

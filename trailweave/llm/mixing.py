@@ -71,6 +71,10 @@ def mix(docs: DataFrame, fraction: float = 1.0, max_epochs: int = 4, seed: int =
     order within an epoch is by md5 of seed, epoch and doc_id, sorted by buckets of equal
     md5 prefix whose token sums are added up first, so a hot leaf is never one task's.
     """
+    return _mixed(docs, fraction, max_epochs, seed).drop("tie")
+
+
+def _mixed(docs: DataFrame, fraction: float, max_epochs: int, seed: int) -> DataFrame:
     text = whole_text()
     base = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), n_tokens(text).alias("n_tokens"), F.md5(text).alias("tie"))
     base = materialise(base.where("n_tokens > 0").withColumn("domain", domain_of(F.col("source"))), "mix-lengths")
@@ -90,7 +94,7 @@ def mix(docs: DataFrame, fraction: float = 1.0, max_epochs: int = 4, seed: int =
     placed = drawn.withColumn("inner", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(sums, [*group, "bucket"])
     start = (F.col("epoch") * F.col("tokens") + F.col("bucket_start") + F.col("inner")).cast("long")
     placed = placed.withColumn("start", start).where(F.col("start") < F.col("budget"))
-    return placed.select("doc_id", *LEVELS, F.col("epoch").cast("int").alias("epoch"), "start", "n_tokens", F.least(F.col("n_tokens"), F.col("budget") - F.col("start")).alias("taken"))
+    return placed.select("doc_id", *LEVELS, F.col("epoch").cast("int").alias("epoch"), "start", "n_tokens", F.least(F.col("n_tokens"), F.col("budget") - F.col("start")).alias("taken"), "tie")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,8 +140,12 @@ OP2_SQL = mix_sql()
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the mixture draws, once each (one epoch), 70 % of all tokens. The last
-    document of a leaf stays whole. Texts without tokens aren't drawn."""
-    name = free_name(docs, "drawn__")
-    drawn = mix(docs, fraction=0.7, max_epochs=1).select(F.col("doc_id").alias(name)).distinct()
-    return docs.where(n_tokens(whole_text()) > 0).join(drawn, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi").select(*docs.columns)
+    """The mixture with the parameters of ``op2``: as many tokens as there are, of which each
+    domain has its target share as far as four epochs allow. A row is repeated for each epoch
+    that draws it; the last document of a leaf stays whole. Texts without tokens aren't drawn.
+    Rows are named by doc_id and text; those equal in both are drawn together."""
+    name, digest, times, tie = (free_name(docs, n) for n in ("drawn__", "digest__", "times__", "tie__"))
+    drawn = _mixed(docs, 1.0, 4, 7).groupBy(F.col("doc_id").alias(name), F.col("tie").alias(tie)).agg(F.countDistinct("epoch").cast("int").alias(times))
+    own = docs.where(n_tokens(whole_text()) > 0).withColumn(digest, F.md5(whole_text()))
+    own = own.join(drawn, F.col("doc_id").eqNullSafe(F.col(name)) & (F.col(digest) == F.col(tie)))
+    return own.withColumn(times, F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)

@@ -15,12 +15,11 @@ import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailweave.llm.common import chunked, columns, partition_id, table, whole_text
+from trailweave.llm.common import columns, partition_id, table, whole_text
 from trailweave.llm.tokens import encoder
 
 TIERS = (256, 512, 1024, 2048)
@@ -126,9 +125,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, kind: str = "byte", end
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, base = encoder(tokenizer_path, kind).encode_all, partition_id() << 40
-        end = np.array([end_id], "<u4").tobytes()
-        held: dict[int, tuple[int | None, bytes]] = {}
+        encode, base = encoder(tokenizer_path, kind), partition_id() << 40
+        held: dict[int, tuple[int | None, memoryview]] = {}
         waiting: list[tuple[int, int, int]] = []
         count = tokens = sequence = group = 0
 
@@ -142,7 +140,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, kind: str = "byte", end
                 offset, size = 0, sum(p[0] for p in window)
                 for length, doc, start in window:
                     name, code = held[doc]
-                    view = memoryview(code)[4 * start : 4 * (start + length)]
+                    view = code[4 * start : 4 * (start + length)]
                     for column, value in zip(rows, (name, start, length, zlib.crc32(view), len(code) // 4, base + sequence, offset, size, base + group + own)):
                         column.append(value)
                     if with_ids:
@@ -158,16 +156,17 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, kind: str = "byte", end
             arrays = [pa.array(c, pa.int64()) for c in rows]
             return pa.RecordBatch.from_arrays([*arrays, pa.array(ids, pa.binary())], schema=RESULT.append(pa.field("ids", pa.binary()))) if with_ids else pa.RecordBatch.from_arrays(arrays, schema=RESULT)
 
-        for batch in chunked(batches, 1000):
-            names, texts = columns(batch, "doc_id", "text")
-            for name, code in zip(names, encode(texts)):
-                code += end
-                held[count] = (name, code)
-                waiting.append((count, 0, len(code) // 4))
-                tokens += len(code) // 4
-                count += 1
-                if tokens >= window_tokens and (out := flush(False)) is not None:
-                    yield out
+        for batch in batches:
+            own = columns(batch, "doc_id")[0]
+            for at, ids, bounds in encode.documents(batch.column(1), end_id):
+                whole, edges = memoryview(ids).cast("B"), bounds.tolist()
+                for k in range(len(edges) - 1):
+                    held[count] = (own[at + k], whole[4 * edges[k] : 4 * edges[k + 1]])
+                    waiting.append((count, 0, edges[k + 1] - edges[k]))
+                    tokens += edges[k + 1] - edges[k]
+                    count += 1
+                    if tokens >= window_tokens and (out := flush(False)) is not None:
+                        yield out
         if (out := flush(True)) is not None:
             yield out
 

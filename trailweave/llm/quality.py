@@ -9,26 +9,24 @@ a score costs time linear in the inputs that aren't zero.
 from __future__ import annotations
 
 import unicodedata
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trailweave.llm import words
 from trailweave.llm.common import chunked, columns, free_name, table, whole_text
 from trailweave.llm.labelled import remainder, training_rows
-from trailweave.llm.tokens import Generations
 
 WORDS = 1 << 14
 STEPS = 12
 RANK = 8
 PER_CLASS = 2000  # labelled rows of each class at most that a model learns from
 
-_words = Generations(400_000)
-
 
 def _class(code: int) -> int:
     c = chr(code)
@@ -56,45 +54,34 @@ def _classes() -> np.ndarray:
     return np.array([_class(i) if not 0xD800 <= i < 0xE000 else 9 for i in range(1 << 16)], np.uint8)
 
 
-def statistics(text: str, words: list[str], hashes: np.ndarray) -> list[float]:
-    """Shares and rates, each between 0 and 1."""
+def statistics(text: str, hashes: np.ndarray) -> list[float]:
+    """Shares and rates, each between 0 and 1, of a text and its words' hashes."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
     n = max(1, len(codes))
     shares = np.bincount(_classes()[np.minimum(codes, 0xFFFF)], minlength=10) / n
-    count = max(1, len(words))
+    count = max(1, len(hashes))
     repeats = distinct = top = 0.0
     if len(hashes):
         repeats = float((hashes[1:] == hashes[:-1]).sum()) / count
         _, sizes = np.unique(hashes, return_counts=True)
         distinct, top = len(sizes) / count, float(sizes.max()) / count
     lines = text.split("\n")
-    return [*shares.tolist(), repeats, distinct, top, min(1.0, np.log1p(len(words)) / 12), min(1.0, n / count / 30), 1 - len(set(lines)) / len(lines), min(1.0, text.count(".") / count), min(1.0, np.log1p(n) / 16)]
+    return [*shares.tolist(), repeats, distinct, top, min(1.0, np.log1p(len(hashes)) / 12), min(1.0, n / count / 30), 1 - len(set(lines)) / len(lines), min(1.0, text.count(".") / count), min(1.0, np.log1p(n) / 16)]
 
 
 N_STATS = 18
 SIZE = WORDS + N_STATS * STEPS
 
 
-def inputs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def inputs(texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sparse rows of the texts: indices, values, and the start of each row. No row is empty."""
-    cache, rows, places, stats = _words, [], [], []
-    for number, text in enumerate(texts):
-        words = text.split()
-        got = list(map(cache.young.get, words))
-        if None in got:
-            for i, value in enumerate(got):
-                if value is None:
-                    value = cache.promote(words[i])
-                    if value is None:
-                        value = zlib.crc32(words[i].lower().encode("utf-8", "surrogatepass")) & 0x7FFFFFFF
-                        cache.put(words[i], value)
-                    got[i] = value
-        hashes = np.array(got, np.int64)
-        stats.append(statistics(text, words, hashes))
-        rows.append(np.full(len(hashes), number, np.int64))
-        places.append(hashes % WORDS)
-    n = len(texts)
-    row, place = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, places))
+    held = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+    found, bounds = words.hashes(pc.utf8_lower(held))
+    found = (found >> np.uint64(1)).astype(np.int64)
+    edges = bounds.tolist()
+    stats = [statistics(text, found[a:b]) for text, a, b in zip(held.to_pylist(), edges[:-1], edges[1:])]
+    row, place = np.repeat(np.arange(len(held)), np.diff(bounds)), found % WORDS
+    n = len(held)
     keys, counts = np.unique(row * SIZE + place, return_counts=True)
     tf = np.log1p(counts)
     norm = np.sqrt(np.bincount(keys // SIZE, weights=tf * tf, minlength=n))
@@ -190,11 +177,11 @@ def scored(docs: DataFrame, model: Machine | float, keep: tuple[str, ...] = ("do
     score_name, text_name = free_name(docs, "score__"), free_name(docs, "text__")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunked(batches, 1000):
-            texts = columns(batch, text_name)[0]
-            got = np.full(len(texts), model) if isinstance(model, float) else model.scores(*inputs(texts))
-            held = [batch.column(batch.schema.get_field_index(c)) for c in keep]
-            yield pa.RecordBatch.from_arrays([*held, pa.array(got, pa.float64())], names=[*keep, score_name])
+        for batch in batches:
+            for first, texts in words.slices(batch.column(batch.num_columns - 1)):
+                got = np.full(len(texts), model) if isinstance(model, float) else model.scores(*inputs(texts))
+                held = [batch.column(k).slice(first, len(texts)) for k in range(len(keep))]
+                yield pa.RecordBatch.from_arrays([*held, pa.array(got, pa.float64())], names=[*keep, score_name])
 
     from pyspark.sql import types as T
 

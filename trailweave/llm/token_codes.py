@@ -3,7 +3,8 @@
 A file holds the ids of many documents. Ids are split into 8-bit chunks by level: level 0
 has the low chunk of every id, level k the k-th chunk of those ids that need it. Each level
 but the last has a continuation bitmap and a rank directory (ones before every 512th bit),
-so that the id at any place is read with one rank for each level and no block is decoded.
+so that the ids of any range are read with one rank for each level: bytes before the range
+are neither read nor decoded.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailweave.llm.common import attempt_name, chunked, columns, materialise, partition_id, read_file, shared_dir, table, whole_text, write_file
+from trailweave.llm.common import attempt_name, columns, filesystem, materialise, partition_id, shared_dir, table, whole_text, write_file
 from trailweave.llm.tokens import encoder
 
 MAGIC = b"TWDAC001"
@@ -49,51 +50,69 @@ def encode_codes(ids: np.ndarray, doc_ids: list[int | None], starts: np.ndarray)
 
 
 class Codes:
-    """A file read back: random access to single ids, and decoding of ranges."""
+    """A file of codes, read by range: opening it reads the documents' names and starts alone."""
 
-    def __init__(self, data: bytes):
-        if data[:8] != MAGIC:
+    def __init__(self, file: pa.NativeFile):
+        self.file = file
+        if self._read(0, 8) != MAGIC:
             raise ValueError("not a token code file")
-        (size,) = struct.unpack_from("<I", data, 8)
-        head, at = json.loads(data[12 : 12 + size]), 12 + size
+        (size,) = struct.unpack("<I", self._read(8, 4))
+        head, at = json.loads(self._read(12, size)), 12 + size
         self.n, docs = head["tokens"], head["docs"]
-
-        def take(kind: str, count: int) -> np.ndarray:
-            nonlocal at
-            got = np.frombuffer(data, dtype=kind, count=count, offset=at)
-            at += got.nbytes
-            return got
-
-        names, known = take("<i8", docs), take("u1", docs)
+        names, known = np.frombuffer(self._read(at, 8 * docs), "<i8"), self._read(at + 8 * docs, docs)
         self.doc_ids = [int(n) if k else None for n, k in zip(names, known)]
-        self.starts = take("<i8", docs + 1)
-        self.levels = [(take("u1", x["n"]), take("u1", x["bits"]), take("<u8", x["ranks"] // 8)) for x in head["levels"]]
+        at += 9 * docs
+        self.starts = np.frombuffer(self._read(at, 8 * docs + 8), "<i8")
+        at += 8 * docs + 8
+        self.levels = []
+        for x in head["levels"]:
+            self.levels.append((at, at + x["n"], at + x["n"] + x["bits"], x["bits"] > 0))
+            at += x["n"] + x["bits"] + x["ranks"]
+
+    def _read(self, at: int, size: int) -> bytes:
+        return self.file.read_at(size, at)
 
     def __len__(self) -> int:
         return self.n
 
     def __getitem__(self, place: int) -> int:
-        """The id at a place, by one rank query a level."""
+        """The id at a place."""
         if not 0 <= place < self.n:
             raise IndexError(place)
-        value = 0
-        for level, (low, bits, ranks) in enumerate(self.levels):
-            value |= int(low[place]) << (8 * level)
-            if not len(bits) or not (bits[place >> 3] >> (place & 7)) & 1:
-                break
-            block = place // RANK_BITS
-            run = np.unpackbits(bits[block * RANK_BITS // 8 : (place >> 3) + 1], bitorder="little")
-            place = int(ranks[block]) + int(run[: place - block * RANK_BITS].sum())
-        return value
-
-    def all(self) -> np.ndarray:
-        value = None
-        for low, bits, _ in reversed(self.levels):
-            own = low.astype("<u4")
-            if value is not None:
-                own[np.unpackbits(bits, count=len(low), bitorder="little").view(bool)] |= value << 8
-            value = own
-        return value if value is not None else np.zeros(0, "<u4")
+        return int(self.ids(place, place + 1)[0])
+
+    def ids(self, start: int, stop: int, level: int = 0) -> np.ndarray:
+        """The ids from ``start`` to before ``stop``: their low chunks, and by one rank a level
+        the range of the next level that holds the rest. Nothing before the range is decoded."""
+        low, bits, ranks, more = self.levels[level]
+        out = np.frombuffer(self._read(low + start, stop - start), np.uint8).astype("<u4")
+        if not more or not len(out):
+            return out
+        block = start // RANK_BITS
+        first = block * RANK_BITS // 8
+        flags = np.unpackbits(np.frombuffer(self._read(bits + first, (stop + 7) // 8 - first), np.uint8), bitorder="little")[: stop - block * RANK_BITS].view(bool)
+        before, own = flags[: start - block * RANK_BITS], flags[start - block * RANK_BITS :]
+        count = int(own.sum())
+        if count:
+            (rank,) = struct.unpack("<Q", self._read(ranks + 8 * block, 8))
+            rank += int(before.sum())
+            out[own] |= self.ids(rank, rank + count, level + 1) << 8
+        return out
+
+    def documents(self, most: int = 1 << 18) -> Iterator[tuple[int, np.ndarray]]:
+        """Number of the document and its ids, in ranges of some ``most`` ids; a longer document
+        comes in several parts."""
+        doc, docs = 0, len(self.doc_ids)
+        while doc < docs:
+            last = max(doc + 1, int(np.searchsorted(self.starts, self.starts[doc] + most, "right")) - 1)
+            start, stop = int(self.starts[doc]), int(self.starts[last])
+            for at in range(start, stop, most) if last == doc + 1 else ():
+                yield doc, self.ids(at, min(stop, at + most))
+            if last > doc + 1:
+                ids, edges = self.ids(start, stop), (self.starts[doc : last + 1] - start).tolist()
+                for k in range(last - doc):
+                    yield doc + k, ids[edges[k] : edges[k + 1]]
+            doc = last
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, kind: str = "word", end_id: int = END_ID, tokens_per_file: int = 1 << 22) -> DataFrame:
@@ -107,31 +126,33 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, kind: str = "word",
     folder = shared_dir(docs.sparkSession, "token-codes")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, attempt = encoder(tokenizer_path, kind).encode_all, partition_id(), attempt_name()
-        end = np.array([end_id], "<u4").tobytes()
-        held: list[bytes] = []
+        encode, part, attempt = encoder(tokenizer_path, kind), partition_id(), attempt_name()
+        held: list[np.ndarray] = []
         names: list[int | None] = []
-        lengths: list[int] = []
+        starts: list[np.ndarray] = []
         number = before = total = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal number, before, held, names, lengths, total
-            starts = np.concatenate(([0], np.cumsum(lengths)))
+            nonlocal number, before, held, names, starts, total
             uri = f"{folder}/part-{part:06d}-{number:05d}.dac"
-            write_file(uri, encode_codes(np.frombuffer(b"".join(held), "<u4"), names, starts), attempt)
-            row = {"file": [uri], "part": [part], "number": [number], "before": [before], "n_tokens": [int(starts[-1])], "n_docs": [len(names)]}
-            number, before, held, names, lengths, total = number + 1, before + int(starts[-1]), [], [], [], 0
+            write_file(uri, encode_codes(np.concatenate(held), names, np.concatenate((*starts, [total]))), attempt)
+            row = {"file": [uri], "part": [part], "number": [number], "before": [before], "n_tokens": [total], "n_docs": [len(names)]}
+            number, before, held, names, starts, total = number + 1, before + total, [], [], [], 0
             return pa.RecordBatch.from_pydict(row, schema=MANIFEST)
 
-        for batch in chunked(batches):
-            ids, texts = columns(batch, "doc_id", "text")
-            for name, code in zip(ids, encode(texts)):
-                held.append(code + end)
-                names.append(name)
-                lengths.append(len(code) // 4 + 1)
-                total += lengths[-1]
-                if total >= tokens_per_file:
-                    yield flush()
+        for batch in batches:
+            own = columns(batch, "doc_id")[0]
+            for at, ids, bounds in encode.documents(batch.column(1), end_id):
+                doc, docs = 0, len(bounds) - 1
+                while doc < docs:
+                    last = min(docs, max(doc + 1, int(np.searchsorted(bounds, bounds[doc] + tokens_per_file - total))))
+                    held.append(ids[bounds[doc] : bounds[last]])
+                    names += own[at + doc : at + last]
+                    starts.append(bounds[doc:last] - bounds[doc] + total)
+                    total += int(bounds[last] - bounds[doc])
+                    doc = last
+                    if total >= tokens_per_file:
+                        yield flush()
         if names:
             yield flush()
 
@@ -164,11 +185,14 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for uri, start in zip(*columns(batch, "file", "start")):
-                codes = Codes(read_file(uri))
-                ids, edges = codes.all(), codes.starts
-                view = memoryview(np.ascontiguousarray(ids)).cast("B")
-                crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(codes.doc_ids, pa.int64()), pa.array(edges[:-1] + start), pa.array(np.diff(edges)), pa.array(crc, pa.int64()), pa.array([uri] * len(crc), pa.string())], schema=RESULT)
+                system, path = filesystem(uri)
+                with system.open_input_file(path) as file:
+                    codes = Codes(file)
+                    crc = np.zeros(len(codes.doc_ids), np.int64)
+                    for doc, ids in codes.documents():
+                        crc[doc] = zlib.crc32(ids.data, int(crc[doc]))
+                edges = codes.starts
+                yield pa.RecordBatch.from_arrays([pa.array(codes.doc_ids, pa.int64()), pa.array(edges[:-1] + start), pa.array(np.diff(edges)), pa.array(crc), pa.array([uri] * len(crc), pa.string())], schema=RESULT)
 
     tasks = spark.sparkContext.defaultParallelism
     spread = placed.select("file", "start").repartition(max(tasks, len(offsets)), "file")

@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 
 from trailweave.llm.common import chunked, columns, table, whole_text
 from trailweave.llm.labelled import remainder, training_rows
-from trailweave.llm.tokens import Generations
 
 DIM = 1 << 18
 DECAY = 0.55  # for each character left out
@@ -41,6 +40,24 @@ SPACED = re.compile(r"(?<!\S)(?:\w[.,\-_*]*[ \t]+){2,}\w[.,\-_*]*(?!\S)")
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
+class Generations:
+    """A cache of at most twice ``limit`` entries; what is used stays."""
+
+    def __init__(self, limit: int):
+        self.limit, self.young, self.old = limit, {}, {}
+
+    def put(self, key: str, value: float) -> None:
+        if len(self.young) >= self.limit:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+    def promote(self, key: str) -> float | None:
+        value = self.young.get(key)
+        if value is None and (value := self.old.get(key)) is not None:
+            self.put(key, value)
+        return value
+
+
 def sentences(text: str) -> list[str]:
     """Pieces that end in a full stop, mark or line break; never empty."""
     return [s for s in SENTENCE.split(text) if s]
