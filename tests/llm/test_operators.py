@@ -505,6 +505,7 @@ def test_layouts(spark):
         {"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]},
         {"prompt": "q", "completion": "a"}, {"question": "q", "answer": "a"}, {"instruction": "q", "output": "a"}, {"instruction": "q", "input": "", "output": "a"},
     ]
+    records += [{**r, "id": 7, "meta": {"lang": "en"}} for r in records]  # fields beside the layout's
     rows = [(i, json.dumps(r)) for i, r in enumerate(records)] + [(90, None), (91, "{"), (92, '{"odd": 1}'), (93, "[]")]
     got = defaultdict(list)
     for r in chat.canonical_json(spark.createDataFrame(rows, "conv_id long, record string")).collect():
@@ -551,3 +552,53 @@ def test_kernel_tolerates_insertions():
     k = toxicity.kernel(["stupid", "stu.pid", "s-tupid", "garden"], ["stupid"])[:, 0]
     assert np.isclose(k[0], 1) and k[1] > 0.5 and k[2] > 0.4 and k[3] < 0.1
     assert "idiot" in toxicity.words_of("you i d i o t there")
+
+
+def test_tables_in_any_layout(spark):
+    """The query's way in: the schema of a table, with columns beside the layout's, chooses."""
+    frames = [
+        spark.createDataFrame([(1, "q", "a", 5)], "conv_id long, prompt string, completion string, extra int"),
+        spark.createDataFrame([(1, "q", "", "a")], "conv_id long, instruction string, input string, output string"),
+        spark.createDataFrame([(1, [("human", "q"), ("gpt", "a")])], "conv_id long, conversations array<struct<`from`:string,value:string>>"),
+        spark.createDataFrame([(1, [("user", "q", 1), ("assistant", "a", 2)], "x")], "conv_id long, messages array<struct<role:string,content:string,n:int>>, note string"),
+        spark.createDataFrame([(1, 1, "assistant", "a", 0), (1, 0, "user", "q", 0)], "conv_id long, turn long, role string, text string, other int"),
+    ]
+    for df in frames:
+        got = sorted((r.conv_id, r.turn, r.role, r.text) for r in chat.canonical_rows(df).collect())
+        assert got == [(1, 0, "user", "q"), (1, 1, "assistant", "a")]
+        assert chat.digests(chat.format_turns(chat.canonical_rows(df))).collect()[0].n_turns == 2
+    empty = spark.createDataFrame([(1, None, None), (2, None, "a")], "conv_id long, prompt string, completion string")
+    assert [tuple(r) for r in chat.canonical_rows(empty).collect()] == [(2, 0, "assistant", "a")]
+
+
+def test_folded_scores_are_the_kernel_sum():
+    """A word's score by its own subsequences equals the sum over landmarks of coefficient and
+    kernel, computed by a plain loop over all triples of places."""
+
+    def features(word):
+        word, out = f"^{word}$", Counter()
+        for i in range(len(word)):
+            for j in range(i + 1, len(word)):
+                for k in range(j + 1, min(len(word), i + 6)):
+                    out[word[i] + word[j] + word[k]] += toxicity.DECAY ** (k - i - 2)
+        norm = sum(v * v for v in out.values()) ** 0.5
+        return {f: v / norm for f, v in out.items()}
+
+    marks, words_ = ["stupid", "moron", "a", "gardenia", "s.t.u.p.i.d"], ["stupid", "stu-pid", "aaaaaaaaaaaa", "x" * 90, "mo_ron", "a"]
+    alpha = np.array([1.5, -0.25, 0.5, 2.0, -1.0])
+    feature, weight, owner = toxicity.subsequences(marks)
+    model = toxicity.Model(np.bincount(feature, weights=weight * alpha[owner], minlength=toxicity.DIM), 0.25, np.ones(4), 0.0)
+    for word, score in zip(words_, model.word_scores(words_)):
+        own = features(word)
+        want = 0.25 + sum(a * sum(own.get(f, 0) * v for f, v in features(m).items()) for a, m in zip(alpha, marks))
+        assert abs(score - want) < 1e-3  # hashed features may meet
+
+
+def test_very_long_words_take_linear_time():
+    import time
+
+    model = toxicity.Model(np.ones(toxicity.DIM, np.float32), 0.0, np.ones(4), 0.0)
+    text = " ".join("".join(chr(97 + (i * j) % 26) for j in range(120)) + str(i) for i in range(1, 3001))
+    start = time.process_time()
+    model.margins([text])
+    assert time.process_time() - start < 6

@@ -13,7 +13,7 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,7 +63,7 @@ ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assi
 
 def turns_of(record: dict) -> list[tuple[str, str]] | None:
     """Canonical (role, text) turns of a JSON record; None if no mapping has its fingerprint."""
-    mapping = MAPPINGS.get(fingerprint(value_paths(record)))
+    mapping = choose(value_paths(record))
     if mapping is None or "rows" in mapping:
         return None
     found = []
@@ -83,7 +83,7 @@ TURNS = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.st
 def canonical_json(records: DataFrame) -> DataFrame:
     """Turns of ``records(conv_id, record)``, JSON texts in any of the layouts: conv_id, turn,
     role, text, layout (the fingerprint). A record that is null, isn't JSON or has an unknown
-    layout gives one row with null turn, role and text, so that it isn't lost."""
+    layout (see ``choose``) gives one row with null turn, role and text, so that it isn't lost."""
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunked(batches):
@@ -101,15 +101,48 @@ def canonical_json(records: DataFrame) -> DataFrame:
     return records.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("record").cast("string").alias("record")).mapInArrow(convert, "conv_id long, turn long, role string, text string, layout string")
 
 
+def choose(paths: set[str]) -> dict | None:
+    """The mapping for a schema: that with the fingerprint of all its field paths, or, where
+    there are fields beside a layout's, that with the fingerprint of its most field paths that
+    make a layout; None if none does. Two layouts of one size are told apart by their order
+    in LAYOUTS."""
+    exact = MAPPINGS.get(fingerprint(paths))
+    if exact is not None:
+        return exact
+    fit = [own for own, _ in LAYOUTS if own <= paths]
+    return MAPPINGS[fingerprint(max(fit, key=len))] if fit else None
+
+
 def canonical_rows(rows: DataFrame) -> DataFrame:
-    """Turns of a table with a row for each, chosen by the fingerprint of its schema. Extra
-    columns don't count."""
-    wanted = {"conv_id", "turn", "role", "text"}
-    mapping = MAPPINGS.get(fingerprint(schema_paths(rows.schema) & wanted))
-    if mapping is None or "rows" not in mapping:
+    """Turns of a table, by the mapping that the fingerprint of its whole schema chooses (see
+    ``choose``): conv_id, turn, role, text. A table with a row for each turn and one with a
+    row for each conversation (prompts, instructions or lists of messages, with conv_id
+    beside them) come out alike. Null roles and texts are empty; other columns don't count."""
+    mapping = choose(schema_paths(rows.schema)) or choose(schema_paths(rows.schema) - {"conv_id"})
+    if mapping is None:
         raise ValueError(f"no mapping for the layout {sorted(schema_paths(rows.schema))}")
-    conv, turn, role, text = mapping["rows"]
-    return rows.select(F.col(conv).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    text_of = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    if "rows" in mapping:
+        conv, turn, role, text = mapping["rows"]
+        return rows.select(F.col(conv).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), text_of(F.col(role)).alias("role"), text_of(F.col(text)).alias("text"))
+    turns = turns_none()
+    for role, field in mapping.get("fixed", ()):
+        parts = [F.col(f).cast("string") for f in (field if isinstance(field, tuple) else (field,))]
+        said = F.concat_ws("\n\n", *(F.when(p != "", p) for p in parts))
+        one = F.array(F.struct(F.lit(role).alias("role"), said.alias("text")))
+        turns = F.concat(turns, F.when(F.coalesce(*parts).isNotNull(), one).otherwise(turns_none()))
+    if "each" in mapping:
+        name, role, text = mapping["each"]
+        own = F.transform(F.col(name), lambda x: F.struct(text_of(x[role]).alias("role"), text_of(x[text]).alias("text")))
+        turns = F.concat(turns, F.coalesce(own, turns_none()))
+    conv = F.col("conv_id").cast("long") if "conv_id" in rows.columns else F.monotonically_increasing_id()
+    named = F.create_map(*(F.lit(x) for pair in ROLES.items() for x in pair))
+    flat = rows.select(conv.alias("conv_id"), F.posexplode(turns).alias("turn", "said"))
+    return flat.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce(named[F.col("said.role")], F.col("said.role")).alias("role"), F.col("said.text").alias("text"))
+
+
+def turns_none() -> Column:
+    return F.array().cast("array<struct<role:string,text:string>>")
 
 
 def escape(text: str) -> str:

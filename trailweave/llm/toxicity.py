@@ -32,7 +32,7 @@ GAPS = [(a, b) for a in range(1, 5) for b in range(1, 6 - a)]
 LANDMARKS = 384
 PER_CLASS = 2000  # labelled rows of each class at most that a model learns from
 ROUNDS = 4
-LONG = 64
+LONGEST = 256  # characters of a word whose score is kept for later texts
 CLEAR = 2.7
 LOW = 0.5  # word scores below it tell nothing
 EDGE = re.compile(r"^[^\w]+|[^\w]+$")
@@ -73,8 +73,22 @@ def words_of(text: str) -> list[str]:
     return [w for w in found if w]
 
 
+def portions(words: list[str], most: int = 1 << 16) -> Iterator[list[str]]:
+    """Lists of words with some ``most`` characters together."""
+    part, size = [], 0
+    for w in words:
+        part.append(w)
+        size += len(w) + 2
+        if size >= most:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashed features, weights and the word of each: three characters of ^word$ with gaps."""
+    """Hashed features, weights and the word of each: three characters of ^word$ with gaps, in
+    time linear in the words' lengths but for one sort. Each word has norm 1."""
     marked = [f"^{w}$" for w in words]
     codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     lengths = np.array([len(w) for w in marked], np.int64)
@@ -90,13 +104,12 @@ def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         features.append((h >> np.uint64(46)).astype(np.int64))
         weights.append(np.full(len(ok), DECAY ** (a + b - 2)))
         owners.append(word[ok])
-    feature, weight, owner = np.concatenate(features), np.concatenate(weights), np.concatenate(owners)
+    # A subsequence that a word has at several places counts once, with the weights added up.
+    keys, back = np.unique(np.concatenate(owners) * DIM + np.concatenate(features), return_inverse=True)
+    weight = np.bincount(back, weights=np.concatenate(weights), minlength=len(keys))
+    owner = keys // DIM
     norm = np.sqrt(np.bincount(owner, weights=weight * weight, minlength=len(words)))
-    # A word's repeats count apart in its norm, but in a very long one they would outgrow it.
-    for i in np.flatnonzero(lengths > LONG).tolist():
-        _, back = np.unique(feature[owner == i], return_inverse=True)
-        norm[i] = np.sqrt((np.bincount(back, weights=weight[owner == i]) ** 2).sum())
-    return feature, weight / norm[owner], owner
+    return keys % DIM, weight / norm[owner], owner
 
 
 class Model:
@@ -133,11 +146,11 @@ class Model:
                     else:
                         known[w] = value
         new = list(fresh)
-        for start in range(0, len(new), 4096):
-            part = new[start : start + 4096]
+        for part in portions(new):
             for w, value in zip(part, self.word_scores(part).tolist()):
                 known[w] = value
-                self.cache.put(w, value)
+                if len(w) <= LONGEST:
+                    self.cache.put(w, value)
         out = []
         for words in lists:
             best = heapq.nlargest(3, ((known[w], w) for w in set(words)))
@@ -158,12 +171,12 @@ def noisy(word: str, rng: np.random.Generator) -> str:
 def kernel(words: list[str], others: list[str]) -> np.ndarray:
     """The normalised subsequence kernel of each word with each of the others."""
     of: dict[int, list[tuple[int, float]]] = {}
-    for f, w, o in zip(*(x.tolist() for x in merged(others))):
+    for f, w, o in zip(*(x.tolist() for x in subsequences(others))):
         of.setdefault(f, []).append((o, w))
     out = np.zeros((len(words), len(others)))
     known = np.zeros(DIM, bool)
     known[list(of)] = True
-    feature, weight, owner = merged(words)
+    feature, weight, owner = subsequences(words)
     use = known[feature]
     for f, w, i in zip(feature[use].tolist(), weight[use].tolist(), owner[use].tolist()):
         row = out[i]
@@ -172,14 +185,6 @@ def kernel(words: list[str], others: list[str]) -> np.ndarray:
     return out
 
 
-def merged(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The subsequences, one row for each word and feature, so that a word that repeats one
-    character a hundred thousand times costs no more than another."""
-    feature, weight, owner = subsequences(words)
-    keys, back = np.unique(owner * DIM + feature, return_inverse=True)
-    return keys % DIM, np.bincount(back, weights=weight, minlength=len(keys)), keys // DIM
-
-
 def train(texts: list[str], y: np.ndarray, seed: int = 8) -> Model:
     rng = np.random.default_rng(seed)
     bags = [sorted({w for s in sentences(t) for w in words_of(s)}) for t in texts]
@@ -221,7 +226,7 @@ def train(texts: list[str], y: np.ndarray, seed: int = 8) -> Model:
 
     def scores(b: np.ndarray, c: float) -> np.ndarray:
         model = Model(b, c, np.ones(4), 0.0)
-        return np.concatenate([model.word_scores(vocabulary[i : i + 8192]) for i in range(0, len(vocabulary), 8192)])
+        return np.concatenate([model.word_scores(part) for part in portions(vocabulary)])
 
     for _ in range(ROUNDS):
         witness = Counter()
