@@ -60,3 +60,28 @@ def test_read_only(spark):
 
     with pytest.raises(Unsupported):
         Session(load(spark, SF)).execute("INSERT (:X)")
+
+
+def scans(df) -> int:
+    return plan_of(df).split("== Initial Plan ==")[0].count("FileScan")
+
+
+@pytest.mark.parametrize("text, join", [
+    ("MATCH (c:Customer) WHERE (c)-[:PLACED]->(:Order {status: 'F'}) RETURN c.custkey AS k", "LeftSemi"),
+    ("MATCH (c:Customer) WHERE NOT (c)-[:PLACED]->(:Order {status: 'F'}) RETURN c.custkey AS k", "LeftAnti"),
+    ("MATCH (d:Document) OPTIONAL MATCH (d)-[:HAS_LABEL]->(l) WHERE l.quality = 0 RETURN d.doc_id AS k, l.toxic AS t", "LeftOuter"),
+])
+def test_a_part_tied_by_one_node_is_one_join(spark, text, join):
+    df = query(load(spark, SF), text)
+    assert scans(df) == 2 and plan_of(df).count("Join") == 1 and join in plan_of(df)
+
+
+def test_repetition_reads_the_edges_once_a_depth(spark):
+    for high in (2, 4):
+        df = query(load(spark, SF), f"MATCH (a:Order)-[:CONTAINS]->{{1,{high}}}(b) RETURN COUNT(*) AS n")
+        assert scans(df) == 1 + high and plan_of(df).count("Union") == 0
+
+
+def test_a_place_beyond_32_bits_is_null(spark):
+    df = query(load(spark, SF), "MATCH (n:Nation {nationkey: 1}) RETURN $l[4294967297] AS far, $l[1] AS near", {"l": [1, 2]})
+    assert [tuple(r) for r in df.collect()] == [(None, 2)]

@@ -133,7 +133,7 @@ def index(base: Value, place: Value) -> Value:
         return Value(F.lit(None), "null")
     if base.kind != "list" or place.kind != "int":
         raise WrongType("only a list has items, at an integer place")
-    return Value(F.get(base.column, place.column.cast("int")), base.item or "null", label=base.label)
+    return Value(F.get(base.column, place.column.try_cast("int")), base.item or "null", label=base.label)
 
 
 def aggregate(name: str, x: Value | None, distinct: bool) -> Value:

@@ -304,6 +304,10 @@ class Lowering:
         ekeys = {k for k, _ in edge.props} | self.needed.get(evar, set())
         kinds = self.graph.edge_props(edge.label)
         adj = oriented(self.graph, edge.label, direction, ekeys)
+        if self.graph.derived(edge.label) and set(rows.scope) == {x} and rows.df is not None:
+            # Known ends go below the aggregation that makes the edges.
+            ends = self.name("k")
+            adj = adj.join(rows.df.select(F.col(q(rows.scope[x].column)).alias(ends)), F.col("u") == F.col(q(ends)), "left_semi")
         u, v, eid = self.name(x), self.name(y), self.name(evar)
         eprops = {k: (self.name(f"{evar}.{k}"), kinds[k]) for k in sorted(ekeys & set(kinds))}
         near, far = self.implied(edge, backwards)
@@ -366,9 +370,12 @@ class Lowering:
         return self.with_props(rows, y, node.props)
 
     def repeat(self, rows: Rows, x: str, edge: EdgeP, y: str, node: NodeP, trail: bool, backwards: bool) -> Rows:
-        """Bounded repetition, unrolled: each depth is one more join, and a row comes out for
-        each path of an allowed length. The path of edge ids is kept only for TRAIL or where
-        the edge variable is read."""
+        """Bounded repetition, unrolled: each depth is one more join on the rows of the depth
+        before, and a row comes out for each path of an allowed length. From the least length
+        on a row is doubled, to stay as it is and to go one edge further, so every depth reads
+        the adjacency once and the rows before it once. The last edge to a node that is bound
+        already joins on both ends. The path of edge ids is kept only for TRAIL or where the
+        edge variable is read."""
         low, high = edge.bounds
         direction = REVERSED[edge.direction] if backwards else edge.direction
         keys = {k for k, _ in edge.props}
@@ -385,10 +392,10 @@ class Lowering:
         if keep:
             current = current.withColumn(path, F.array().cast("array<string>"))
         current = current.where(F.col(q(front)).isNotNull())
-        depths = [current] if low == 0 else []
+        live = None  # rows that may still grow
         for depth in range(1, high + 1):
             adj = oriented(self.graph, edge.label, direction, keys)
-            u, v, eid = self.name("u"), self.name("v"), self.name("i")
+            u, v, eid, go = self.name("u"), self.name("v"), self.name("i"), self.name("go")
             if edge.props:
                 props = {k: (k, kinds[k]) for k in keys & set(kinds)}
                 inner = {"_edge": Binding("eid", "edge", edge.label, props=props)}
@@ -397,25 +404,33 @@ class Lowering:
                     adj = adj.where(X.equal(self.value(Prop("_edge", k), inner), self.value(e, scope)))
             extra = {k: self.name(k) for k in sorted(keys & set(kinds))}
             adj = adj.select(F.col("u").alias(u), F.col("v").alias(v), F.col("eid").alias(eid), *(F.col(q(k)).alias(c) for k, c in extra.items()))
-            current = current.join(adj, F.col(q(front)) == F.col(q(u)), "inner")
+            grows, condition = depth > low, F.col(q(front)) == F.col(q(u))
+            if grows:
+                both = F.array(F.lit(False), F.lit(True))
+                chosen = both if live is None else F.when(F.col(q(live)), both).otherwise(F.array(F.lit(False)))
+                current = current.withColumn(go, F.explode(chosen))
+                condition &= F.col(q(go))
+            if y_bound and depth == high:
+                condition &= F.col(q(scope[y].column)) == F.col(q(v))
+            current = current.join(adj, condition, "left" if grows else "inner")
+            kept = [F.col(q(u)).isNotNull()] if grows else []
             for k, e in edge.props:
                 if names(e):
                     own = Value(F.col(q(extra[k])), kinds[k]) if k in extra else Value(F.lit(None), "null")
-                    current = current.where(X.equal(own, self.value(e, scope)))
+                    kept.append(X.equal(own, self.value(e, scope)))
             if trail and depth > 1:
-                current = current.where(~F.array_contains(q(path), F.col(q(eid))))
+                kept.append(~F.array_contains(q(path), F.col(q(eid))))
+            for one in kept:
+                current = current.where(~F.col(q(go)) | one if grows else one)
             if keep:
                 grown = F.concat(F.array(eid), F.col(q(path))) if backwards else F.concat(F.col(q(path)), F.array(eid))
-                current = current.withColumn(path, grown)
-            current = current.drop(front, u, eid, *extra.values()).withColumnRenamed(v, front)
-            if depth >= low:
-                depths.append(current)
-        if not depths:
-            depths = [current.where(F.lit(False))]
-        columns = depths[0].columns
-        out = depths[0]
-        for d in depths[1:]:
-            out = out.unionAll(d.select(*(q(c) for c in columns)))
+                current = current.withColumn(path, F.when(F.col(q(go)), grown).otherwise(F.col(q(path))) if grows else grown)
+            current = current.withColumn(front, F.when(F.col(q(go)), F.col(q(v))).otherwise(F.col(q(front))) if grows else F.col(q(v)))
+            current = current.drop(u, v, eid, *extra.values(), *([live] if live else []))
+            live = go if grows else None
+        out = current.drop(live) if live else current
+        if high < low:
+            out = out.where(F.lit(False))
         if y_bound:
             out = out.where(F.col(q(front)) == F.col(q(scope[y].column)))
         else:
@@ -454,8 +469,29 @@ class Lowering:
             used |= names(where.expr)
         return sorted(used & set(rows.scope))
 
+    def direct(self, rows: Rows, paths: tuple[Path, ...], where: Where | None, n: str, how: str) -> Rows | None:
+        """A correlated part of one edge whose only tie to the rows is the node ``n`` at one of
+        its ends: the edge is read by itself and joined once. None for any other part."""
+        path, binding = paths[0], rows.scope[n]
+        if len(paths) > 1 or binding.kind != "node" or len(path.edges) != 1 or path.edges[0].bounds is not None or where is not None and where.path is not None:
+            return None
+        read = {x for part in (*path.nodes, *path.edges) for _, e in part.props for x in names(e)} | (names(where.expr) if where is not None else set())
+        mine = [x for x in path.nodes if x.var == n]
+        if n in read or path.edges[0].var == n or len(mine) != 1 or mine[0].props or mine[0].label not in (None, binding.label):
+            return None
+        own, key = self.name("_o"), self.name("k")
+        part = replace(path, nodes=tuple(replace(x, var=own, label=None) if x.var == n else x for x in path.nodes))
+        right = self.where(self.path(Rows(None, {own: Binding("", "node")}), part), where)
+        made = {k: replace(b, nullable=True) for k, b in right.scope.items() if k != own}
+        wanted = [q(c) for b in made.values() for c in b.columns] if how == "left" else []
+        side = right.df.select(F.col(q(right.scope[own].column)).alias(key), *wanted)
+        joined = rows.df.join(side, F.col(q(binding.column)) == F.col(q(key)), how)
+        return Rows(joined.drop(key), {**rows.scope, **made}) if how == "left" else Rows(joined, rows.scope)
+
     def correlated(self, rows: Rows, paths: tuple[Path, ...], where: Where | None, how: str) -> Rows:
         outer = self.outer_names(rows, paths, where)
+        if rows.df is not None and len(outer) == 1 and (found := self.direct(rows, paths, where, outer[0], how)) is not None:
+            return found
         left = self.load_all(rows, {n for n in outer if rows.scope[n].kind in ("node", "edge") and self.needed.get(n)}) if rows.df is not None else Rows(self.start(rows), rows.scope)
         if not outer:
             right = self.where(self.inner(Rows(None, {}), paths), where)

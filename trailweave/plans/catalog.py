@@ -62,6 +62,16 @@ GRAPH: dict[str, tuple[str, dict | None, str]] = {
     ),
     "cross_join": ("MATCH (r:Region), (n:Nation) RETURN r.name AS r, n.name AS n", None, "SELECT r_name AS r, n_name AS n FROM region, nation"),
     "correlated_join": ("MATCH (n:Nation), (m:Nation {regionkey: n.regionkey}) RETURN n.name AS n, m.name AS m", None, "SELECT n.n_name AS n, m.n_name AS m FROM nation n JOIN nation m ON n.n_regionkey = m.n_regionkey"),
+    "label_filter": (
+        "MATCH (n:Nation)-[:IN_REGION]-(m:Region) RETURN n.name AS n, m.name AS m",
+        None,
+        "SELECT n_name AS n, r_name AS m FROM nation JOIN region ON n_regionkey = r_regionkey",
+    ),
+    "label_filter_any_edge": (
+        "MATCH (n:Nation {nationkey: 3})<-[]-(x:Customer) RETURN x.custkey AS k",
+        None,
+        "SELECT c_custkey AS k FROM customer WHERE c_nationkey = 3",
+    ),
     "semi_join": ("MATCH (c:Customer) WHERE (c)-[:PLACED]->(:Order {status: 'F'}) RETURN c.custkey AS k", None, "SELECT c_custkey AS k FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')"),
     "anti_join": ("MATCH (c:Customer) WHERE NOT (c)-[:PLACED]->(:Order {status: 'F'}) RETURN c.custkey AS k, c.name AS name", None, "SELECT c_custkey AS k, c_name AS name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')"),
     "optional": ("MATCH (d:Document) OPTIONAL MATCH (d)-[:HAS_LABEL]->(l) RETURN d.doc_id AS doc_id, l.quality AS quality", None, "SELECT d.doc_id, l.quality::BIGINT AS quality FROM documents d LEFT JOIN labels l USING (doc_id)"),
@@ -93,6 +103,12 @@ GRAPH: dict[str, tuple[str, dict | None, str]] = {
     "distinct": ("MATCH (c:Customer)-[:PLACED]->(o:Order) RETURN DISTINCT c.mktsegment AS seg, o.status AS status", None, "SELECT DISTINCT c_mktsegment AS seg, o_orderstatus AS status FROM customer JOIN orders ON o_custkey = c_custkey"),
     "order_top": ("MATCH (o:Order) RETURN o.orderkey AS o, o.totalprice AS p ORDER BY p DESC, o LIMIT 25", None, "SELECT o_orderkey AS o, o_totalprice AS p FROM orders ORDER BY p DESC, o LIMIT 25"),
     "order_hidden": ("MATCH (c:Customer) RETURN c.name AS name ORDER BY c.acctbal, c.custkey LIMIT 10", None, "SELECT c_name AS name FROM customer ORDER BY c_acctbal, c_custkey LIMIT 10"),
+    "sort": ("MATCH (c:Customer) RETURN c.custkey AS k, c.acctbal AS bal ORDER BY bal DESC, k", None, "SELECT c_custkey AS k, c_acctbal AS bal FROM customer ORDER BY bal DESC, k"),
+    "truthy_kinds": (
+        "MATCH (n:Nation) RETURN n.name AS name, NOT n.name AS s, NOT n.nationkey * 1.0 AS f, NOT (n.nationkey - 3) AS i, NOT null AS z, NOT '' AS e, NOT $list AS l",
+        {"list": [1]},
+        "SELECT n_name AS name, false AS s, n_nationkey = 0 AS f, n_nationkey = 3 AS i, true AS z, true AS e, false AS l FROM nation",
+    ),
     "skip_limit": ("MATCH (c:Customer) RETURN c.custkey AS k ORDER BY k SKIP 20 LIMIT 15", None, "SELECT c_custkey AS k FROM customer ORDER BY k LIMIT 15 OFFSET 20"),
     "limit_zero": ("MATCH (n:Nation) RETURN n.name AS name LIMIT 0", None, "SELECT n_name AS name FROM nation LIMIT 0"),
     "nulls_last": (
@@ -184,7 +200,7 @@ def _node_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _edge_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = load(spark, sf_dir)
-    wanted = graph.nodes("Customer", {"custkey"}).where("custkey % 7 = 0").select(F.concat(F.lit("LIVES_IN:"), "custkey").alias("eid"))
+    wanted = graph.nodes("Customer", {"custkey", "acctbal"}).where("acctbal > 0").select(F.concat(F.lit("LIVES_IN:"), "custkey").alias("eid"))
     found = access.edge_by_id(graph, wanted, label="LIVES_IN")
     return found.select((F.col("src") - node_id("Customer", F.lit(0))).alias("c"), (F.col("dst") - node_id("Nation", F.lit(0))).alias("n"))
 
@@ -209,7 +225,7 @@ SQL: dict[str, str] = {name: sql for name, (_, _, sql) in GRAPH.items()}
 QUERIES |= {"node_by_id": _node_by_id, "edge_by_id": _edge_by_id, "edge_scan": _edge_scan, "project_endpoints": _endpoints, "empty_result": _empty}
 SQL |= {
     "node_by_id": "SELECT o_orderkey AS o, o_orderstatus AS status FROM orders WHERE o_totalprice > 300000",
-    "edge_by_id": "SELECT c_custkey AS c, c_nationkey::BIGINT AS n FROM customer WHERE c_custkey % 7 = 0",
+    "edge_by_id": "SELECT c_custkey AS c, c_nationkey::BIGINT AS n FROM customer WHERE c_acctbal > 0",
     "edge_scan": "SELECT o_custkey AS c, o_orderkey AS o FROM orders",
     "project_endpoints": "SELECT s_suppkey AS s, s_nationkey::BIGINT AS n FROM supplier",
     "empty_result": "SELECT n_name AS name FROM nation WHERE false",

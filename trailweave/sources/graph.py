@@ -53,7 +53,8 @@ class Edges:
 
     ``ends`` are the labels of the endpoints where they are always the same. ``inline`` says
     for an end ("src", "dst") which of its node's properties the same table holds, by column
-    name: they are then read without a join.
+    name: they are then read without a join. ``derived``: the table is an aggregation, below
+    which a semi-join on an end goes.
     """
 
     label: str
@@ -61,6 +62,7 @@ class Edges:
     directed: bool = True
     ends: tuple[str | None, str | None] = (None, None)
     inline: dict[str, dict[str, str]] = field(default_factory=dict)
+    derived: bool = False
     props: dict[str, str] = field(init=False)
 
     def __post_init__(self):
@@ -184,6 +186,10 @@ class Graph:
         tables = self.edge_choice(label)
         return tables[0].inline if len(tables) == 1 else {}
 
+    def derived(self, label: str | None) -> bool:
+        tables = self.edge_choice(label)
+        return len(tables) == 1 and tables[0].derived
+
     def edge_frame(self, label: str) -> DataFrame:
         return self.edge_tables[label].df
 

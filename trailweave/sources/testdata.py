@@ -73,7 +73,7 @@ def load(spark: SparkSession, sf_dir: str) -> Graph:
 
     def supplies() -> Edges:
         made = table("lineitem", "l_").select("suppkey", "partkey").distinct().select(edge_id("SUPPLIES", "suppkey", "partkey").alias("eid"), node_id("Supplier", c("suppkey")).alias("src"), node_id("Part", c("partkey")).alias("dst"))
-        return Edges("SUPPLIES", made, ends=("Supplier", "Part"))
+        return Edges("SUPPLIES", made, ends=("Supplier", "Part"), derived=True)
 
     def following(turns: DataFrame) -> DataFrame:
         # A conversation's turns are numbered without gaps; its last has no next.
