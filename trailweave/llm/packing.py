@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailweave.llm.common import columns, partition_id, table, whole_text
+from trailweave.llm import common
+from trailweave.llm.common import columns, partition_id, whole_text
 from trailweave.llm.tokens import encoder
 
 TIERS = (256, 512, 1024, 2048)
@@ -113,7 +114,7 @@ def step_groups(sequences: list[list[Piece]], group_tokens: int) -> list[int]:
 RESULT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("sequence_length", pa.int64()), ("step_group", pa.int64())])
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, kind: str = "byte", end_id: int = END_ID, window_tokens: int = 1 << 20, group_tokens: int = 1 << 17, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, kind: str = "byte", end_id: int = END_ID, window_tokens: int = 1 << 20, group_tokens: int = 1 << 17, with_ids: bool = False, table: int = 700_000) -> DataFrame:
     """One row per piece of ``docs(doc_id, text)``: doc_id, start, length, ids_crc32,
     doc_tokens, sequence_id, offset, sequence_length, step_group (and the ids, as bytes of
     little-endian 32-bit integers, with ``with_ids``).
@@ -121,11 +122,12 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, kind: str = "byte", end
     Null and empty texts are the end id alone; null and repeated doc_ids are packed row by
     row. Other columns are ignored; an empty table gives an empty result. Sequence and group
     numbers hold the task's number in their high bits, so they are unique and a repeated
-    task gives the same. A task holds ``window_tokens`` ids and one document's at most.
+    task gives the same. A task holds ``window_tokens`` ids and one document's at most, and a
+    worker the ids of ``table`` known chunks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, base = encoder(tokenizer_path, kind), partition_id() << 40
+        encode, base = encoder(tokenizer_path, kind, table), partition_id() << 40
         held: dict[int, tuple[int | None, memoryview]] = {}
         waiting: list[tuple[int, int, int]] = []
         count = tokens = sequence = group = 0
@@ -177,11 +179,12 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, kind: str = "byte", end
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pack_documents(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of every document of the stage before."""
+    """The pieces of every document of the stage before. The workers' table of known chunks is
+    smaller than in ``op10``, as they have run the other stages too; results don't change."""
     import public_tokenizers
 
-    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), table=250_000)

@@ -1,9 +1,9 @@
 """Exact token ids at the speed of an array look-up.
 
 The tokenizer library spends most of its time on words that it has seen before. The bytes of
-many texts are cut, all at once, before white space that follows a visible character. No
-token and no look-ahead of either vocabulary straddles such a cut, so the ids of a text are
-those of its chunks. Equal chunks of a batch are found by Arrow; their ids lie in one bounded
+many texts are cut, all at once, before white space that follows a visible character, and
+between letters and punctuation. No token and no look-ahead of either vocabulary straddles
+such a cut, so the ids of a text are those of its chunks. Equal chunks of a batch are found by Arrow; their ids lie in one bounded
 table, and only chunks that are new to it go through the library, many to a call.
 """
 
@@ -28,17 +28,28 @@ WORD = re.compile(
 
 _plain = np.zeros(256, bool)
 _plain[0x21:0x7F] = True
+_letter = np.zeros(256, bool)
+_letter[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_mark = _plain & ~_letter
+_mark[0x30:0x3A] = False
+_closed = _mark.copy()
+_closed[0x27] = False  # an apostrophe may belong to the letters behind it
 
 
 def chunk_starts(data: np.ndarray, edges: np.ndarray) -> np.ndarray:
     """Where chunks start, and the end of the last. Cuts are before a blank or line break
-    that follows a visible ASCII character or the end of a longer one that isn't space."""
+    that follows a visible ASCII character or the end of a longer one that isn't space, before
+    ASCII punctuation that follows a letter, and behind it where an ASCII letter comes."""
     cut = np.zeros(len(data) + 1, bool)
     cut[edges] = True
     cut[-1] = True
     if len(data) > 1:
         space = (data == 0x20) | (data == 0x0A)
         cut[1:-1] |= space[1:] & _plain[data[:-1]]
+        mark, letter = _mark[data], _letter[data]
+        cut[1:-1] |= mark[1:] & letter[:-1] | letter[1:] & _closed[data[:-1]]
+        latin = np.flatnonzero(mark[1:] & (data[:-1] >= 0x80))
+        cut[latin[(data[latin - 1] == 0xC3) & (data[latin] != 0x97) & (data[latin] != 0xB7)] + 1] = True
         high = np.flatnonzero(space[1:] & (data[:-1] >= 0x80))
         two, three = data[high - 1], data[high - 2]
         blank = (two == 0xC2) | ((three == 0xE1) & ((two == 0x9A) | (two == 0xA0))) | ((three == 0xE2) & (two <= 0x81)) | ((three == 0xE3) & (two == 0x80))
@@ -46,6 +57,18 @@ def chunk_starts(data: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
+def folded(data: np.ndarray, tokens: bool) -> np.ndarray:
+    """For a vocabulary without case and white space: line breaks as blanks, and ASCII letters
+    in lower case but where something behind may change them, or (``tokens``) where the
+    string of an added token might come about."""
+    out = np.where(data == 0x0A, np.uint8(0x20), data)
+    if not tokens:
+        upper = (data >= 0x41) & (data <= 0x5A)
+        upper[:-1] &= data[1:] < 0x80
+        out[upper] += 0x20
+    return out
+
+
 class Encoder:
     """Ids of whole texts, as the library's plain call gives them: strings of added tokens in
     a text become those tokens.
@@ -54,7 +77,7 @@ class Encoder:
     that glues a blank to the word behind it. ``chunks`` bounds the table.
     """
 
-    def __init__(self, path: str, kind: str, chunks: int = 450_000):
+    def __init__(self, path: str, kind: str, chunks: int = 700_000):
         from tokenizers import Tokenizer
 
         self.library, self.kind, self.limit = Tokenizer.from_file(path), kind, chunks
@@ -154,6 +177,9 @@ class Encoder:
             return self._with_added(texts, {i for i in range(len(texts)) if any(a in raw[edges[i] : edges[i + 1]] for a in self.added)})
         if not raw:
             return np.zeros(0, np.uint32), np.zeros(len(edges), np.int64)
+        if self.kind == "word":
+            data = folded(data, b"<|" in raw)
+            raw = data.tobytes()
         starts = chunk_starts(data, edges)
         chunks = pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer(starts.astype(np.int32)), pa.py_buffer(raw)]).dictionary_encode()
         keys = chunks.dictionary.to_pylist()
@@ -206,6 +232,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, kind: str) -> Encoder:
+def encoder(path: str, kind: str, chunks: int = 700_000) -> Encoder:
     """One for each worker process, kept from task to task."""
-    return Encoder(path, kind)
+    return Encoder(path, kind, chunks)
