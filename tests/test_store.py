@@ -114,3 +114,11 @@ def test_transactions(spark, tmp_path):
     one.rollback()
     again = Session(Store(spark, f"file://{tmp_path}/store"))
     assert rows(again, "MATCH (x) RETURN COUNT(*) AS n") == [(3,)]
+
+
+def test_edges_of_a_snapshot_are_not_derived(session):
+    session.execute("INSERT (a:A {n: 1})-[:R]->(b:B {n: 2}), (a)-[:S]->(b), (:A {n: 3})")
+    graph = session.source.begin().graph()
+    assert [graph.derived(label) for label in (None, "R", "none")] == [False] * 3
+    assert rows(session, "MATCH (a:A), (a)-[:R]->(b) RETURN a.n, b.n") == [(1, 2)]
+    assert rows(session, "MATCH (a:A), (a)-[e]->(b) RETURN COUNT(*) AS n") == [(2,)]

@@ -87,6 +87,9 @@ class StoreGraph(Graph):
     def inline(self, label: str | None) -> dict[str, dict[str, str]]:
         return {}
 
+    def derived(self, label: str | None) -> bool:
+        return False
+
 
 class Store:
     """Versions below ``path``; without one, in the shared folder of spark.checkpoint.dir, or
