@@ -115,6 +115,25 @@ def test_token_files_of_odd_rows(spark, odd, clashing, empty):
     assert token_codes.read_token_files(token_codes.write_token_files(empty, WORD)).count() == 0
 
 
+def test_token_files_of_many_tasks_make_few_parquet_files(spark):
+    docs = spark.createDataFrame([(i, f"document {i}") for i in range(400)], "doc_id long, text string")
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "24")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        manifest = token_codes.write_token_files(docs, WORD, tokens_per_file=40)
+        read = token_codes.read_token_files(manifest)
+        rows, cores = sorted(read.collect()), spark.sparkContext.defaultParallelism
+        assert manifest.count() > 24 and manifest.select("part").distinct().count() > 4 * cores
+        assert len(manifest.inputFiles()) <= cores and read.rdd.getNumPartitions() <= cores
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    ends = [r.start + r.n_tokens for r in rows]
+    assert [r.doc_id for r in rows] == list(range(400)) and [r.start for r in rows] == [0, *ends[:-1]]
+    assert [r.ids_crc32 for r in rows] == [crc([*ids, 1]) for ids in library_ids(WORD, [f"document {i}" for i in range(400)])]
+
+
 # Packing
 
 

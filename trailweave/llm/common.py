@@ -68,6 +68,18 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few_files(manifest: DataFrame) -> DataFrame:
+    """A manifest in as many partitions as there are cores. It has a row or so a task, which
+    else becomes a Parquet file a task; for each, Hadoop starts processes to set modes."""
+    return manifest.repartition(manifest.sparkSession.sparkContext.defaultParallelism)
+
+
+def tasks_for(spark: SparkSession, files: int, size: int, each: int) -> int:
+    """Tasks to read ``files`` of ``size`` together: some ``each`` a task, all cores at least,
+    but no task without a file beyond those."""
+    return max(spark.sparkContext.defaultParallelism, min(files, -(-size // each)))
+
+
 def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 

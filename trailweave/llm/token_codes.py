@@ -19,12 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailweave.llm.common import attempt_name, columns, filesystem, materialise, partition_id, shared_dir, table, whole_text, write_file
+from trailweave.llm.common import attempt_name, columns, few_files, filesystem, materialise, partition_id, shared_dir, table, tasks_for, whole_text, write_file
 from trailweave.llm.tokens import encoder
 
 MAGIC = b"TWDAC001"
 RANK_BITS = 512
 END_ID = 1
+READ_TOGETHER = 1 << 24  # ids to a reading task
 
 
 def encode_codes(ids: np.ndarray, doc_ids: list[int | None], starts: np.ndarray) -> bytes:
@@ -159,7 +160,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, kind: str = "word",
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     ordered = ordered.withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     written = ordered.mapInArrow(write, "file string, part long, number long, before long, n_tokens long, n_docs long")
-    return materialise(written, "token-manifest")
+    return materialise(few_files(written), "token-manifest")
 
 
 MANIFEST = pa.schema([("file", pa.string()), ("part", pa.int64()), ("number", pa.int64()), ("before", pa.int64()), ("n_tokens", pa.int64()), ("n_docs", pa.int64())])
@@ -170,13 +171,13 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
     """One row per document from the files: doc_id, start (ids of all documents before it),
     n_tokens, ids_crc32, file.
 
-    Only the token count of each partition of the writer comes to the driver: one number a
-    task, however large the input.
+    Only the counts of tokens and files of each partition of the writer come to the driver:
+    two numbers a task, however large the input.
     """
     spark = manifest.sparkSession
-    totals = sorted((r["part"], r["n"]) for r in manifest.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect())
+    totals = sorted((r["part"], r["n"], r["files"]) for r in manifest.groupBy("part").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("files")).collect())
     offsets, run = [], 0
-    for part, n in totals:
+    for part, n, _ in totals:
         offsets.append((part, run))
         run += n
     starts = spark.createDataFrame(offsets, "part long, part_start long")
@@ -194,8 +195,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                 edges = codes.starts
                 yield pa.RecordBatch.from_arrays([pa.array(codes.doc_ids, pa.int64()), pa.array(edges[:-1] + start), pa.array(np.diff(edges)), pa.array(crc), pa.array([uri] * len(crc), pa.string())], schema=RESULT)
 
-    tasks = spark.sparkContext.defaultParallelism
-    spread = placed.select("file", "start").repartition(max(tasks, len(offsets)), "file")
+    spread = placed.select("file", "start").repartition(tasks_for(spark, sum(t[2] for t in totals), run, READ_TOGETHER))
     return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, file string")
 
 
