@@ -481,6 +481,23 @@ def test_archives_of_odd_pages(spark):
     assert one == two
 
 
+def test_archives_of_many_tasks_make_few_parquet_files(spark):
+    pages = spark.createDataFrame([(i, f"http://a/{i}", f"<p>{i % 150}</p>") for i in range(200)], "page_id long, url string, html string")
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "24")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        manifest = warc.write_archives(pages)
+        read, cores = warc.read_archives(manifest), spark.sparkContext.defaultParallelism
+        assert manifest.count() > 4 * cores
+        assert len(manifest.inputFiles()) <= cores and read.rdd.getNumPartitions() <= cores
+        got = sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in read.collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == [(i, len(f"<p>{i % 150}</p>"), *(("response", None) if i < 150 else ("revisit", i - 150))) for i in range(200)]
+
+
 # Chat
 
 

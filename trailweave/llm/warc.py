@@ -17,10 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailweave.llm.common import attempt_name, chunked, columns, filesystem, materialise, partition_id, read_file, shared_dir, table, whole_text
+from trailweave.llm.common import attempt_name, chunked, columns, few_files, filesystem, materialise, partition_id, read_file, shared_dir, table, tasks_for, whole_text
 
 SPACE = uuid.UUID("6f0c1d5e-2b7a-5c58-9d3b-0a4e8f7c1b22")
 DATE = "2000-01-01T00:00:00Z"
+READ_TOGETHER = 8 << 20  # compressed bytes to a reading task
 
 
 def payload_digest(payload: bytes) -> str:
@@ -118,7 +119,7 @@ def write_archives(pages: DataFrame, least_bytes: int = 0, roll_bytes: int = 32
     body = pages.select(F.col("page_id").cast("long").alias("page_id"), F.concat_ws(":", F.sha2(html, 256), F.octet_length(html)).alias("key"), F.lit(1).alias("tag"), F.lit(None).cast("long").alias("first"), F.col("url").cast("string").alias("url"), html.alias("html"))
     notes = marks.select("page_id", "key", F.lit(0).alias("tag"), "first", F.lit(None).cast("string").alias("url"), F.lit("").alias("html"))
     rows = body.unionByName(notes).repartitionByRange("page_id", "key").sortWithinPartitions("page_id", "key", "tag", "url")
-    return materialise(rows.mapInArrow(write, "file string, records long, bytes long"), "warc-manifest")
+    return materialise(few_files(rows.mapInArrow(write, "file string, records long, bytes long")), "warc-manifest")
 
 
 RESULT = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("file", pa.string())])
@@ -143,7 +144,8 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), RESULT)], schema=RESULT)
 
     spark = manifest.sparkSession
-    spread = manifest.select("file").repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "file")
+    files, size = manifest.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    spread = manifest.select("file").repartition(tasks_for(spark, files, size, READ_TOGETHER))
     return spread.mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, file string")
 
 
