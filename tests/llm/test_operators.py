@@ -228,6 +228,13 @@ def test_chunks_are_lossless(odd):
     assert c.where("a <> b").count() == 0
 
 
+def test_recipes_of_many_tasks_make_few_files(spark, odd):
+    many = odd.repartition(40)
+    own = exact_dedup.recipes(many)
+    assert own.count() == odd.count() and len(own.inputFiles()) <= spark.sparkContext.defaultParallelism
+    assert own.select("row").distinct().count() == odd.count()
+
+
 def test_exact_stage(spark, odd, sf):
     rows = exact_dedup.stage(spark, odd, sf).collect()
     assert len(rows) == len({r.text or "" for r in odd.collect()}) and Counter(r.text or "" for r in rows).most_common(1)[0][1] == 1

@@ -74,6 +74,20 @@ def few_files(manifest: DataFrame) -> DataFrame:
     return manifest.repartition(manifest.sparkSession.sparkContext.defaultParallelism)
 
 
+FILE_BYTES = 128 << 20  # of documents to a file of their small rows
+
+
+def compact(small: DataFrame, docs: DataFrame) -> DataFrame:
+    """Small rows made from ``docs`` in as many partitions as the estimated bytes of docs ask
+    for, all cores at least, and no more than a shuffle has. Else each reading task writes a
+    file, and for each file Hadoop starts processes, as in ``few_files``."""
+    spark = docs.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    most = max(cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return small.repartition(min(most, max(cores, -(-size // FILE_BYTES))))
+
+
 def tasks_for(spark: SparkSession, files: int, size: int, each: int) -> int:
     """Tasks to read ``files`` of ``size`` together: some ``each`` a task, all cores at least,
     but no task without a file beyond those."""

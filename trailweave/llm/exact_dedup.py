@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailweave.llm.common import free_name, materialise, table, whole_text
+from trailweave.llm.common import compact, free_name, materialise, table, whole_text
 
 #: From 1024 code points to the next sentence or line end, or 8192 where none comes.
 CHUNK = r"(?s).{1024,8191}?[.\n]|.{1,8192}"
@@ -43,7 +43,8 @@ def recipes(docs: DataFrame) -> DataFrame:
         def identifier(c: Column) -> Column:
             return F.concat(digest(c), F.unhex(F.sha2(F.reverse(c), 512)))
     text = whole_text()
-    return materialise(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.transform(chunks(text), identifier).alias("ids"), F.sha2(text, 256).alias("text_sha256")), "recipes")
+    made = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.transform(chunks(text), identifier).alias("ids"), F.sha2(text, 256).alias("text_sha256"))
+    return materialise(compact(made, docs), "recipes")
 
 
 def exact_groups(docs: DataFrame, keep: str = "max") -> DataFrame:
@@ -85,14 +86,15 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of rows with equal texts one row stays: that with the largest doc_id.
 
     The rows to drop are named by doc_id and text digest, so a repeated doc_id with another
-    text stays; of rows equal in both, one stays.
+    text stays; of rows equal in both, one stays. A row that stays has its own doc_id as
+    keep_id, so only rows that aren't kept are written.
     """
     digest_name = free_name(docs, "digest__")
     keep_name, group_name = free_name(docs, "keep__"), free_name(docs, "group__")
-    groups = materialise(exact_groups(docs), "exact-groups")
+    groups = materialise(compact(exact_groups(docs).where(~F.col("kept")), docs), "exact-groups")
     gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias(keep_name), F.col("text_sha256").alias(group_name)).distinct()
     own = docs.withColumn(digest_name, F.sha2(whole_text(), 256))
     left = own.join(gone, F.col("doc_id").eqNullSafe(F.col(keep_name)) & (F.col(digest_name) == F.col(group_name)), "left_anti")
-    if groups.where(~F.col("kept") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).limit(1).count():
+    if groups.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).limit(1).count():
         left = left.dropDuplicates(["doc_id", digest_name])
     return left.select(*docs.columns)
