@@ -312,6 +312,12 @@ def test_near_groups_of_odd_rows(odd, clashing, empty):
     assert near_dedup.near_groups(empty).count() == 0
 
 
+def test_fingerprints_of_many_tasks_make_few_files(spark, odd):
+    prints, _ = near_dedup.links(odd.repartition(40))
+    assert prints.count() == odd.count() == prints.select("row").distinct().count()
+    assert len(prints.inputFiles()) <= spark.sparkContext.defaultParallelism
+
+
 def test_dense_cluster_and_split_buckets(spark):
     import random
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailweave.llm import words
-from trailweave.llm.common import chunked, columns, free_name, materialise, partition_id, table, whole_text
+from trailweave.llm.common import chunked, columns, compact, free_name, materialise, partition_id, table, whole_text
 from trailweave.llm.components import components
 
 SHINGLE = 5
@@ -373,20 +373,20 @@ def verified(pairs: DataFrame, items: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(use) for k in (0, 1)], names=["a", "b"])
 
     one, two = items.select(F.col("key").alias("a"), F.col("items").alias("x")), items.select(F.col("key").alias("b"), F.col("items").alias("y"))
-    return materialise(pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary"), "links")
+    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary")
 
 
 def links(docs: DataFrame, cap: int = CAP, block_bytes: int = BLOCK_BYTES, cuts: tuple[int, int] = CUTS) -> tuple[DataFrame, DataFrame]:
     """Fingerprints of all rows, and node, label for the nodes that have a verified link."""
-    prints = materialise(fingerprints(docs), "fingerprints")
+    prints = materialise(compact(fingerprints(docs), docs), "fingerprints")
     first = F.min(F.struct("doc_id", "tie"))
     nodes = prints.groupBy("key").agg(first.alias("one"), F.min("s0").alias("s0"), F.min("s1").alias("s1"), F.min("size").alias("size"))
     nodes = materialise(nodes.select("key", "one.doc_id", "one.tie", "s0", "s1", "size"), "nodes")
     rows = buckets(nodes, plan(nodes.count()), cap)
-    found = materialise(bucket_pairs(rows, cuts), "pairs")
+    found = materialise(compact(bucket_pairs(rows, cuts), docs), "pairs")
     pairs = found.where("a IS NOT NULL").select("a", "b").distinct()
     items = shingle_sets(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), nodes, docs)
-    edges = verified(pairs, items)
+    edges = materialise(compact(verified(pairs, items), docs), "links")
     labels = components(edges)
     dense = found.where("a IS NULL").select(*BUCKET).distinct()
     if dense.limit(1).count():
@@ -409,7 +409,7 @@ def links(docs: DataFrame, cap: int = CAP, block_bytes: int = BLOCK_BYTES, cuts:
                 heavy = blocks(whole.withColumn("old", F.col("salt")).drop("salt").join(weight.select("level", "trie", "prefix", F.col("salt").alias("old")), ["level", "trie", "prefix", "old"], "left_semi"), ["level", "trie", "prefix", "old"], weight.withColumnRenamed("salt", "old"), block_bytes)
                 heavy = heavy.withColumn("salt", F.xxhash64("old", "salt")).drop("old")
                 whole = whole.join(weight, BUCKET, "left_anti").unionByName(heavy)
-            labels = components(edges.union(materialise(bucket_links(whole.join(items, "key"), cuts), "links")))
+            labels = components(edges.union(materialise(compact(bucket_links(whole.join(items, "key"), cuts), docs), "links")))
     return prints, labels
 
 
